@@ -80,8 +80,8 @@ def featurised(docs: DataFrame, bits: int, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, updates: int = 36_000, seed: int = 7) -> Model:
-    """FTRL-proximal over (label, slots) rows in seeded orders, 3 to 20 times each."""
+def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = 3, seed: int = 7) -> Model:
+    """FTRL-proximal over (label, slots) rows in seeded orders."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     positive = sum(y for y, _ in rows)
     bias = float(np.log((positive + 0.5) / (len(rows) - positive + 0.5)))
@@ -91,7 +91,7 @@ def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, bet
     zb, nb = 0.0, 0.0
     rng = np.random.Generator(np.random.PCG64(seed))
     at = bias
-    for _ in range(min(20, max(3, updates // len(rows)))):
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ix, y = sparse[i], rows[i][0]
             zi, ni = z[ix], n[ix]
