@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": quality.op3_quality,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
