@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, toxicity
+from . import mixing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op6_simhash": simhash.op6_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
