@@ -147,9 +147,9 @@ def _quality(good: np.ndarray, size: np.ndarray, upto: np.ndarray) -> np.ndarray
 def train(texts: list[str], label: np.ndarray, steps: int = 150, rate: float = 0.08, l2: float = 1e-3) -> Model:
     """Maximum conditional likelihood by Adam on the whole sample."""
     share = float((label.sum() + 0.5) / (len(label) + 1))
-    col = pa.array(texts, pa.large_string())
-    data, off = c.column_bytes(col)
-    own, upto, size = features(data, off)
+    parts = [features(*c.column_bytes(batch.column(0))) for batch in c.pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])], limit=1 << 19)]
+    own, size = np.concatenate([np.zeros((0, 20)), *(p[0] for p in parts)]), np.concatenate([np.zeros(0), *(p[2] for p in parts)])
+    upto = np.cumsum([0, *(n for p in parts for n in np.diff(p[1]))])
     d = own.shape[1]
     mean, scale = (own.mean(0), own.std(0) + 1e-3) if len(own) else (np.zeros(d), np.ones(d))
     model = Model(mean, scale, np.zeros(3 * d + 1), np.zeros((2, 2)), (float(_logit(share)), 0.0), share)
