@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, toxicity
+from . import mixing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.OP7_SQL,
+}
