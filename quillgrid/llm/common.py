@@ -154,6 +154,27 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE)
     return start, end, np.searchsorted(start, offsets)
 
 
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of ``width`` lower-cased (A-Z) words, in order, and the
+    number of runs before each row.  A row of fewer words is one run of them all."""
+    start, end, upto = words(data, offsets)
+    word = mix(span_hash(prefix_hash(LOWER_CODE[data]), start, end)) if len(start) else np.zeros(0, U64)
+    have = np.diff(upto)
+    runs = np.where(have >= width, have - width + 1, (have > 0).astype(np.int64))
+    first = np.zeros(len(offsets), np.int64)
+    np.cumsum(runs, out=first[1:])
+    total = int(first[-1])
+    key = np.zeros(total, U64)
+    if total:
+        row = np.repeat(np.arange(len(runs)), runs)
+        at = np.arange(total) - first[row] + upto[row]
+        limit = upto[row + 1]
+        for k in range(width):
+            key = key * U64(_BASE) + np.where(at + k < limit, word[np.minimum(at + k, len(word) - 1)], U64(0))
+        key = mix(key)
+    return key, first
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) with component the least node reachable; from (src, dst).
 

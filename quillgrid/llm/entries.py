@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, simhash, toxicity, warc
+from . import minhash, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op6_simhash": simhash.op6_simhash,

@@ -32,24 +32,13 @@ _LANES = np.array([sum(((b >> (7 - k)) & 1) << (8 * k) for k in range(8)) for b
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
     """(rows, 16) bytes."""
     n = len(offsets) - 1
-    start, end, upto = c.words(data, offsets)
-    word = c.mix(c.span_hash(c.prefix_hash(c.LOWER_CODE[data]), start, end)) if len(start) else np.zeros(0, np.uint64)
-    have = np.diff(upto)
-    terms = np.where(have >= width, have - width + 1, (have > 0).astype(np.int64))
-    first = np.zeros(n + 1, np.int64)
-    np.cumsum(terms, out=first[1:])
+    key, first = c.shingles(data, offsets, width)
+    terms = np.diff(first)
     total = int(first[-1])
     out = np.zeros((n, BITS // 8), np.uint8)
     if not total:
         return out
     row = np.repeat(np.arange(n), terms)
-    at = np.arange(total) - first[row] + upto[row]
-    key = np.zeros(total, np.uint64)
-    limit = upto[row + 1]
-    for k in range(width):
-        inside = at + k < limit
-        key = key * c.U64(0x9E3779B97F4A7C15) + np.where(inside, word[np.minimum(at + k, len(word) - 1)], c.U64(0))
-    key = c.mix(key)
     # sum 0/1 votes over at most 255 terms at a time in eight byte lanes of a word
     cuts = np.concatenate([np.arange(a, b, 255) for a, b in zip(first[:-1], first[1:], strict=True) if b > a])
     owner = row[cuts]
