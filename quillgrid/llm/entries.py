@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, simhash, toxicity, warc
+from . import minhash, mixing, packing, quality, simhash, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
     "op8_toxicity": toxicity.op8_toxicity,
