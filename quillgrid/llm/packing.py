@@ -21,9 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,62 +42,55 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit bytes; the same as the tokenizer's."""
+    """Ids of texts as little-endian 32-bit bytes; the same as the tokenizer's.
 
-    def __init__(self, path: str, most: int = 600_000):
+    A chunk between white space is looked up, or met for the first time and kept;
+    ``most`` bounds what is kept."""
+
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.chunks, self.words = most, {}, {}
-        self.model = self.tokenizer.model
-        # words are looked up one by one only if the file is of the kind meant here
+        self.model, self.most = self.tokenizer.model, most
+        # words go to the model one by one only if the file is of the kind meant here
         self.lower = self._splits_alike()
+        self.chunks, self.words = _Table(self._chunk), _Table(self._word)
 
     def _splits_alike(self) -> bool:
         probe = ["don't", "RE-do,", "a1b22.", "Été***", "x's'", "!!", "'ve"]
-        for w in probe:
-            parts = _PARTS.findall(w.lower())
-            got = [x.ids for x in self.tokenizer.encode_batch([*parts, w], add_special_tokens=False)]
-            own = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_SHOWN))] for p in parts]
-            if list(itertools.chain(*got[:-1])) != got[-1] or own != got[:-1]:
-                return False
-        return True
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain, other, words = {}, [], self.words
-        if self.lower:
-            for w in chunks:
-                if w.isalpha() and w.islower() and _SIMPLE.fullmatch(w):
-                    plain[w] = (w,)
-                elif _SIMPLE.fullmatch(w) and "<|" not in w:
-                    plain[w] = _PARTS.findall(w.lower())
-                else:
-                    other.append(w)
-        else:
-            other = chunks
-        self.chunks.update(zip(other, self._direct(other), strict=True))
-        new = [p for p in set(itertools.chain.from_iterable(plain.values())) if p not in words]
-        run, ids, cut = self.model.tokenize, [], [0]
-        for p in new:  # the model takes bytes in the printable form of byte-level BPE
-            ids += [t.id for t in run(p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN))]
-            cut.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        words.update(zip(new, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        for w, parts in plain.items():
-            self.chunks[w] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
+        return all(b"".join(map(self._word, _PARTS.findall(w.lower()))) == self._direct(w) for w in probe)
+
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        # the model takes bytes in the printable form of byte-level BPE
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not self.lower or not _SIMPLE.fullmatch(chunk) or "<|" in chunk:
+            return self._direct(chunk)
+        if chunk.isalpha():
+            return self._word(chunk) if chunk.islower() else self.words[chunk.lower()]
+        parts = _PARTS.findall(chunk.lower())
+        return self.words[parts[0]] if len(parts) == 1 else b"".join(map(self.words.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self.chunks) > self.most or len(self.words) > self.most:
-            self.chunks, self.words = {}, {}
-        unknown = set().union(*(s for s in split if s)).difference(self.chunks)
-        if unknown:
-            self._learn(list(unknown))
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        if len(self.words) > self.most // 2:
+            self.words.clear()
         get = self.chunks.__getitem__
-        return [self._direct([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return [self._direct(t) if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
+
+
+class _Table(dict):
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
 
 
 _held: dict[str, Tokens] = {}
