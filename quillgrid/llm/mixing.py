@@ -21,6 +21,8 @@ columns pass through :func:`mix` unless their names are those it adds.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,42 @@ def _coprime(a: Column, b: Column) -> Column:
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each whole time that a
+    document is taken and one more for the words of its blocks taken once more.
+    ``n_chars``, where there, is that of the new text.  Rows that share a doc_id and
+    a size are taken as the first of them is."""
+    columns = docs.columns
+    plan = mix(docs.select("doc_id", "text", "source"), block, **options).where("taken > 0")
+    fields = ("_begin", "_n", "_each", "_extra", "_stride", "_shift")
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min(F.struct(*fields)).alias("_x")).select("_id", "_size", "_x.*")
+    joined = docs.withColumn("_words", word_count(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).select(*columns, *fields)
+    kinds = docs.schema
+
+    def run(batches):
+        for batch in c.pieces(batches):
+            data, off = c.column_bytes(batch.column("text"))
+            start, end, upto = c.words(data, off)
+            begin, n, each, extra, stride, shift = (batch.column(batch.num_columns - 6 + k).to_numpy().astype(np.int64) for k in range(6))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(upto))
+            place = (begin[row] + np.arange(len(start)) - upto[row]) // block
+            more = (place * stride[row] + shift[row]) % np.maximum(n[row], 1) < extra[row]
+            texts, take = [], []
+            raw = data.tobytes()
+            for i in range(batch.num_rows):
+                a, b = upto[i], upto[i + 1]
+                whole = raw[off[i] : off[i + 1]].decode()
+                texts += [whole] * int(each[i])
+                take += [i] * int(each[i])
+                on = np.flatnonzero(more[a:b])
+                if len(on):
+                    runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
+                    texts.append(whole if len(on) == b - a else "\n".join(raw[start[a + r[0]] : end[a + r[-1]]].decode() for r in runs))
+                    take.append(i)
+            out = batch.select(columns).take(pa.array(take, pa.int64()))
+            cols = [pa.array(texts, pa.string()) if k == "text" else pa.array([len(t) for t in texts], out.column(k).type) if k == "n_chars" else out.column(k) for k in columns]
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return joined.mapInArrow(run, kinds)
