@@ -111,12 +111,14 @@ def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, bet
     return Model(slots.astype(np.int32), w.astype(np.float32), float(at), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000, bits: int = 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 10_000, bits: int = 20) -> Model:
     """Learn from at most ``sample`` labelled rows that are not held out."""
     given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~c.held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
     given = given.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = featurised(docs.select("doc_id", "text").join(F.broadcast(given), "doc_id"), bits, ["doc_id", "y"]).orderBy("doc_id", "terms").collect()
-    return train([(r.y, bytes(r.terms)) for r in rows], bits)
+    # written first, then read a part at a time: the driver's JVM never holds the sample
+    rows = c.staged(featurised(docs.select("doc_id", "text").join(F.broadcast(given), "doc_id"), bits, ["doc_id", "y"]), "toxicity-sample")
+    held = sorted((r.doc_id, r.y, bytes(r.terms)) for r in rows.coalesce(8).toLocalIterator())
+    return train([(y, terms) for _, y, terms in held], bits)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "score") -> DataFrame:
