@@ -26,7 +26,7 @@ OUTPUT = "doc_id string, status string, is_valid boolean, value string, n_errors
 _STATE = "text string, pending string, next int, last int, closed boolean"
 
 
-def _stepper(schema: str, fast_fail: bool, ttl_ms: int):
+def _stepper(schema: str, fast_fail: bool, ttl_ms: int | None):
     def row(key, status, text, complete):
         valid, value, errors = judged(schema, text, complete)
         return pd.DataFrame([(key[0], status, valid, value, len(errors), json.dumps(errors, ensure_ascii=False))], columns=[x.split()[0] for x in OUTPUT.split(", ")])
@@ -62,19 +62,24 @@ def _stepper(schema: str, fast_fail: bool, ttl_ms: int):
                 closed = True
                 yield found
         state.update(("" if closed else text, "{}" if closed else json.dumps(held), at, last, closed))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
 
     return step
 
 
-def validate_stream(chunks: DataFrame, schema: str, fast_fail: bool = False, ttl_ms: int = 3_600_000) -> DataFrame:
-    """A streaming DataFrame of reports (append mode)."""
-    return chunks.selectExpr("cast(doc_id as string) as doc_id", "cast(seq as int) as seq", "chunk", "coalesce(eof, false) as eof").groupBy("doc_id").applyInPandasWithState(_stepper(schema, fast_fail, ttl_ms), OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def validate_stream(chunks: DataFrame, schema: str, fast_fail: bool = False, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """A streaming DataFrame of reports (append mode).  Without ``ttl_ms`` states stay."""
+    limit = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.selectExpr("cast(doc_id as string) as doc_id", "cast(seq as int) as seq", "chunk", "coalesce(eof, false) as eof").groupBy("doc_id").applyInPandasWithState(_stepper(schema, fast_fail, ttl_ms), OUTPUT, _STATE, "append", limit)
 
 
 def run_to_end(chunks: DataFrame, schema: str, folder: str, **options) -> DataFrame:
-    """Judge what a stream has now, through checkpoint and sink under ``folder``."""
+    """Judge what a stream has now, through checkpoint and sink under ``folder``.
+
+    States do not time out here: a processing-time limit would keep a run that ends
+    with its input going."""
     sink = f"{folder}/reports"
-    query = validate_stream(chunks, schema, **options).writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query = validate_stream(chunks, schema, ttl_ms=None, **options).writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return chunks.sparkSession.read.schema(OUTPUT).parquet(sink)
