@@ -26,7 +26,7 @@ from quillgrid.operators.compare import matcher_at, repeated_item, repeated_para
 BLOCK = r"(?m)^```[^\n`]*\n(?:(?!```)[^\n]*\n)*```$|^[^\n]+(?:\n[^\n]+)*"
 #: What only the full parser reads, outside of fences.
 ODD = r"[`*_\[\]\\<\t\r]|(?m)^ |(?m) $|^(?:~~~|\+ )"
-_STARTS = r"(?:#{1,6}(?: |$)|[-*+] |\d{1,9}[.)] |>|```|~~~|[=-]+$|\|)"
+_STARTS = r"(?:#{1,6}(?: |$)|[-*+](?: |$)|\d{1,9}[.)](?: |$)|>|```|~~~|[=-]+$|\|)"
 _PLAIN = r"[^`*_\[\]\\<\t\r\n]+"
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = "*.md") -> DataFrame:
     """(path, text): a row for each file below ``path``, read whole."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    read = spark.read.option("recursiveFileLookup", True)
     read = read.option("pathGlobFilter", glob) if glob else read
-    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
