@@ -11,7 +11,7 @@ Equal vectors are one point with its k + 1 smallest ids: by the tie rule no othe
 id of theirs can be among any query's best k, its own row left out.
 
 The block pairs are queries times rows by design: exact search has no index to
-give up.  Components are whole numbers, so scores are exact.
+give up.  Components are whole numbers, so scores are exact as long as they fit 64 bits.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take
 no part, as query or candidate; vectors meet only those of their own length; rows
@@ -121,8 +121,9 @@ def search(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.nda
     def bound(a: int, nodes: list[int]) -> np.ndarray:
         qc, rc = q_tree.center[a], [r_tree.center[b] for b in nodes]
         rr, rq = np.array([r_tree.radius[b] for b in nodes]), q_tree.radius[a]
-        top = r_tree.points[rc] @ q_tree.points[qc] + q_norm[qc] * rr + r_norm[rc] * rq + rq * rr
-        return top + 1e-9 * np.abs(top) + 1e-6
+        most = q_norm[qc] * rr + r_norm[rc] * rq + rq * rr
+        # room for rounding, by the size of what is summed
+        return r_tree.points[rc] @ q_tree.points[qc] + most + 1e-9 * (q_norm[qc] * r_norm[rc] + most) + 1e-6
 
     def worst(a: int) -> int:
         return best.score[q_tree.order[slice(*q_tree.span[a])], -1].min()
@@ -130,7 +131,7 @@ def search(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.nda
     todo = [(0, 0, float("inf"))]
     while todo:
         a, b, most = todo.pop()
-        if most < worst(a):
+        if most < float(worst(a)):
             continue
         down_q, down_r = q_tree.children[a], r_tree.children[b]
         if not down_q and not down_r:

@@ -6,8 +6,9 @@ partitions of about ``rows_per_part`` at random (by hash) and packed best-fit
 decreasing.  Dual-feasible functions give each partition a lower bound on its
 number of sequences; where that equals the number used, the partition is
 certified best.  Partitions with a gap release the documents of their emptiest
-sequences, all released documents are pooled, dealt anew and packed again, until
-no gap closes (``rounds`` at most).
+sequences, and every partition those of sequences under nine tenths full, which are
+best for it but not for all; released documents are pooled, dealt anew and packed
+again, until no gap closes (``rounds`` at most).
 
 Tokenising splits at white space, which the tokenizer drops and never joins over,
 and keeps the ids of chunks it has met in a bounded table (emptied when full), so
@@ -174,7 +175,7 @@ def lower_bound(length: np.ndarray, size: int) -> int:
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free boolean, bins long, bound long"
 
 
-def _packer(size: int, level: int):
+def _packer(size: int, level: int, alone: bool):
     names = [x.split()[0] for x in _PACKED.split(", ")]
 
     def run(key, table):
@@ -184,8 +185,9 @@ def _packer(size: int, level: int):
         bins, offset, fill = best_fit(length, size)
         bound = lower_bound(length, size)
         gap = len(fill) - bound
-        # with a gap, the emptiest bins give up their documents
-        free = np.zeros(len(fill), bool)
+        # with a gap, the emptiest bins give up their documents; with others to
+        # exchange with, so do bins whose room is only best for this partition
+        free = np.zeros(len(fill), bool) if alone else fill < 0.9 * size
         if gap:
             free[np.argsort(fill, kind="stable")[: max(8 * gap, len(fill) // 20)]] = True
             free &= fill < size
@@ -209,7 +211,7 @@ def pack(parts: DataFrame, size: int = SEQUENCE, rows_per_part: int = 50_000, ro
             break
         groups = max(1, -(-n // rows_per_part))
         dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
-        packed = c.staged(dealt.groupBy("_part").applyInArrow(_packer(size, level), _PACKED), "packed")
+        packed = c.staged(dealt.groupBy("_part").applyInArrow(_packer(size, level, groups == 1), _PACKED), "packed")
         used = packed.agg(F.count_distinct("sequence_id")).first()[0]
         if before is not None and used >= before:
             done.append(kept)  # the pool packed no better: its old places stand
