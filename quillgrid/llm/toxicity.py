@@ -80,7 +80,7 @@ def featurised(docs: DataFrame, bits: int, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = 3, seed: int = 7) -> Model:
+def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, seed: int = 7) -> Model:
     """FTRL-proximal over (label, slots) rows in seeded orders."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     positive = sum(y for y, _ in rows)
