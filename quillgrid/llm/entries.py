@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": minhash.OP1_SQL,
+        "op4_suffixes": suffixes.OP4_SQL,
         "op5_licences": licences.op5_sql(),
         "op7_warc": warc.OP7_SQL,
         "op9_top_k": covertree.OP9_SQL,

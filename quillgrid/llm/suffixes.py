@@ -437,3 +437,20 @@ def _series(x):
 
 def op4_suffixes(spark, sf_dir: str) -> DataFrame:
     return cut_repeats(c.table(spark, sf_dir, "documents"))
+
+
+#: Every string of 100 bytes, by its MD5, and where it starts first.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+m AS (SELECT doc_id, list_transform(range(0, greatest(octet_length(t) - 99, 0)), lambda i: md5(t[i + 1:i + 100])) AS x FROM d),
+p AS (SELECT doc_id, unnest(x) AS k, unnest(range(0, len(x))) AS s FROM m),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM p),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM w WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g),
+r AS (SELECT doc_id, span, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, span),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT o.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
