@@ -47,6 +47,14 @@ def none(spark, docs):
     return docs.limit(0)
 
 
+@pytest.fixture(params=[True, False], ids=["coalesced", "apart"])
+def coalesced(spark, request):
+    """Whether small shuffle partitions are merged, which hides keys dealt apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
@@ -280,7 +288,7 @@ def brute_cuts(rows):
 
 
 @pytest.mark.parametrize("part", [16 << 20, 4000])
-def test_suffixes(spark, docs, none, monkeypatch, part):
+def test_suffixes(spark, docs, none, monkeypatch, part, coalesced):
     monkeypatch.setattr(suffixes, "PART", part)
     monkeypatch.setattr(suffixes, "BUCKET", part)
     want = brute_cuts([(r[0], r[1]) for r in corpus()])
@@ -427,7 +435,7 @@ def brute_top(queries, rows, k):
 
 
 @pytest.mark.parametrize("kind", ["plain", "ties", "copies", "large", "few"])
-def test_top_k(spark, kind):
+def test_top_k(spark, kind, coalesced):
     rng = np.random.default_rng(3)
     n = {"few": 6}.get(kind, 700)
     v = rng.integers(-3, 3, (n, 8)) if kind == "ties" else rng.normal(size=(n, 8)) * (1e8 if kind == "large" else 100)  # scores have to fit 64 bits
