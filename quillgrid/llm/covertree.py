@@ -156,8 +156,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     """(query_id, rank, vec_id, score): both sides (vec_id, v)."""
     blocks, groups = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // group_rows))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = queries.select(F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g"), every(blocks, "b"), "vec_id", "v")
-    right = vectors.select(F.size("v").alias("d"), every(groups, "g"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("b"), "vec_id", "v")
+    # cogroup hashes either side's keys as they are: equal numbers of different types would not meet
+    one = lambda n, name, *seed: F.pmod(F.xxhash64("vec_id", *seed), F.lit(n)).cast("int").alias(name)
+    left = queries.select(F.size("v").alias("d"), one(groups, "g"), every(blocks, "b"), "vec_id", "v")
+    right = vectors.select(F.size("v").alias("d"), every(groups, "g"), one(blocks, "b", F.lit(7)), "vec_id", "v")
 
     def arrays(table):
         n = table.num_rows
