@@ -8,11 +8,12 @@ node named by its minwise token at that tree's position; a node of few classes i
 compared exhaustively, a larger one branches on by the tokens at positions drawn
 from the node's own seed, twice per level, so that a pair at the threshold stays
 together with more than its expected share.  A pair at similarity s meets in a
-tree with probability s at least near the root: at 0.85 eight trees miss under
+tree with probability s at least near the root: at 0.8 eight trees miss under
 one in 10,000.
 
-A meeting is a candidate when its signatures agree in ``agree`` of 64 places (4.5
-deviations below the threshold).  Candidates are only connected, not listed, so a
+Documents are linked at a similarity of ``near`` hundredths or more (0.8 unless
+told otherwise).  A meeting is a candidate when its signatures agree in 64 places
+up to 4.5 deviations below the threshold.  Candidates are only connected, not listed, so a
 node of n near copies gives n - 1 links.  Every connected group of candidates is
 then compared exactly, on full sets, in one task or, beyond ``group_shingles``, in
 pairs of blocks; a comparison is skipped only between documents that are already
@@ -42,7 +43,13 @@ from . import common as c
 PLACES = 64
 _TIMES = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 31, PLACES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, PLACES).astype(np.uint32)
-WIDTH, NUMERATOR, TREES, AGREE, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 85, 8, 0.65, 50_000, 4, 4 << 20
+WIDTH, NEAR, TREES, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 80, 8, 50_000, 4, 4 << 20
+
+
+def agreement(near: int, deviations: float) -> float:
+    """Least number of places in which the signatures of a pair at the threshold agree."""
+    share = near / 100
+    return PLACES * (share - deviations * (share * (1 - share) / PLACES) ** 0.5)
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -73,11 +80,12 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def groups_of(sig: np.ndarray, size: np.ndarray, agree: float) -> np.ndarray:
+def groups_of(sig: np.ndarray, size: np.ndarray, near: int) -> np.ndarray:
     """Label of each row: connected by signatures that agree and sizes that allow."""
     n = len(sig)
     label = np.full(n, -1)
     rest = np.arange(n)
+    least = agreement(near, 4.5)
     for root in range(n):
         if label[root] >= 0:
             continue
@@ -86,11 +94,11 @@ def groups_of(sig: np.ndarray, size: np.ndarray, agree: float) -> np.ndarray:
         todo = [root]
         while todo and len(rest):
             u = todo.pop()
-            near = ((sig[rest] == sig[u]).sum(1) >= agree * PLACES) & (np.minimum(size[rest], size[u]) * 100 >= NUMERATOR * np.maximum(size[rest], size[u]))
-            hit = rest[near]
+            alike = ((sig[rest] == sig[u]).sum(1) >= least) & (np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u]))
+            hit = rest[alike]
             if len(hit):
                 label[hit] = root
-                rest = rest[~near]
+                rest = rest[~alike]
                 todo += hit.tolist()
     return label
 
@@ -99,10 +107,10 @@ def _branches(seed: int, many: int = 2) -> list[int]:
     return [c.mix_int(seed * 131 + b) % PLACES for b in range(many)]
 
 
-def _node(sig, size, ids, seed, agree, out, depth=0, small=256, deepest=3) -> None:
+def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> None:
     """Branch a node in memory; append (id, least id of its group) links."""
     if len(ids) <= small or depth >= deepest:
-        label = groups_of(sig, size, agree)
+        label = groups_of(sig, size, near)
         rank = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(rank, label, ids)
         low = rank[label]
@@ -114,15 +122,15 @@ def _node(sig, size, ids, seed, agree, out, depth=0, small=256, deepest=3) -> No
         cut = np.flatnonzero(np.diff(sig[order, place].astype(np.int64))) + 1
         for part in np.split(order, cut):
             if len(part) > 1:
-                _node(sig[part], size[part], ids[part], c.mix_int(seed ^ (place << 20) ^ int(sig[part[0], place])), agree, out, depth + 1, small, deepest)
+                _node(sig[part], size[part], ids[part], c.mix_int(seed ^ (place << 20) ^ int(sig[part[0], place])), near, out, depth + 1, small, deepest)
 
 
-def _node_links(agree: float):
+def _node_links(near: int):
     def run(key, table):
         ids = table.column("rep").to_numpy()
         raw = b"".join(table.column("sig").to_pylist())
         out: list = []
-        _node(np.frombuffer(raw, np.uint16).reshape(-1, PLACES), table.column("n").to_numpy(), ids, key[0].as_py() & (2**64 - 1), agree, out)
+        _node(np.frombuffer(raw, np.uint16).reshape(-1, PLACES), table.column("n").to_numpy(), ids, key[0].as_py() & (2**64 - 1), near, out)
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
@@ -134,7 +142,7 @@ def _token(place) -> F.Column:
     return F.substring(F.hex("sig"), place * 4 + 1, F.lit(4))
 
 
-def candidates(classes: DataFrame, trees: int = TREES, agree: float = AGREE, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
+def candidates(classes: DataFrame, near: int = NEAR, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
     """(src, dst) links whose components hold every candidate pair.  classes: rep, n, sig."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(t), _token(F.lit((11 + 7 * t) % PLACES))) for t in range(trees))))
     nodes = classes.select(roots.alias("node"), "rep")
@@ -143,7 +151,7 @@ def candidates(classes: DataFrame, trees: int = TREES, agree: float = AGREE, nod
         sizes = c.staged(nodes.groupBy("node").agg(F.count("*").alias("here"), F.min("rep").alias("least")).where("here > 1"), "nodes")
         large = sizes.where(F.col("here") > node_rows)
         full = nodes.join(sizes.where(F.col("here") <= node_rows).select("node"), "node").join(classes, "rep")
-        found = full.groupBy("node").applyInArrow(_node_links(agree), "src long, dst long")
+        found = full.groupBy("node").applyInArrow(_node_links(near), "src long, dst long")
         links = found if links is None else links.union(found)
         if large.isEmpty():
             break
@@ -157,13 +165,14 @@ def candidates(classes: DataFrame, trees: int = TREES, agree: float = AGREE, nod
     return links
 
 
-def exact_groups(found: list[np.ndarray], near: int = NUMERATOR) -> np.ndarray:
+def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
     """Label (least index) of each set: connected by 100 |A and B| >= near |A or B|."""
     n = len(found)
     size = np.array([len(s) for s in found], np.int64)
     sig = np.stack([signature(s) for s in found])
     label = np.full(n, -1)
     rest = np.arange(n)
+    least = agreement(near, 6.7)
     for root in range(n):
         if label[root] >= 0:
             continue
@@ -172,7 +181,7 @@ def exact_groups(found: list[np.ndarray], near: int = NUMERATOR) -> np.ndarray:
         todo = [root]
         while todo and len(rest):
             u = todo.pop()
-            may = rest[(np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u])) & ((sig[rest] == sig[u]).sum(1) >= 0.55 * PLACES)]
+            may = rest[(np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u])) & ((sig[rest] == sig[u]).sum(1) >= least)]
             own = found[u]
             hit = []
             for v in may.tolist():
@@ -188,7 +197,7 @@ def exact_groups(found: list[np.ndarray], near: int = NUMERATOR) -> np.ndarray:
     return label
 
 
-def confirmed(docs: DataFrame, members: DataFrame, width: int = WIDTH, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def confirmed(docs: DataFrame, members: DataFrame, width: int = WIDTH, near: int = NEAR, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(node, component) over full sets.  members: rep, n, candidate group."""
     load = members.groupBy("group").agg(F.sum("n").alias("load"))
     load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"))
@@ -203,7 +212,7 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int = WIDTH, group_shi
         found = [s for b in c.pieces(table.select(["text"]).to_batches(), limit=1 << 20) for s in sets(*c.column_bytes(b.column(0)), width)]
         there = np.array([len(s) > 0 for s in found])
         ids, found = ids[there], [s for s in found if len(s)]
-        low = ids[exact_groups(found)] if len(ids) else ids
+        low = ids[exact_groups(found, near)] if len(ids) else ids
         return pa.table([pa.array(ids, pa.int64()), pa.array(low, pa.int64()), pa.array(np.full(len(ids), blocks == 1))], names=["src", "dst", "single"])
 
     found = c.staged(texts.groupBy("group", "i", "j").applyInArrow(run, "src long, dst long, single boolean"), "confirmed")
@@ -214,21 +223,21 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int = WIDTH, group_shi
     return label
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = c.staged(sketched(docs, width), "sketches")
     there = rows.where("n_shingles > 0 and doc_id is not null")
     classes = c.staged(there.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig")).alias("x")).select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.sig"), "classes")
-    group = c.connected_components(candidates(classes.select("rep", "n", "sig"), **options), "candidates")
+    group = c.connected_components(candidates(classes.select("rep", "n", "sig"), near, **options), "candidates")
     members = classes.join(group, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("group"))
-    label = confirmed(docs, members, width).groupBy("node").agg(F.min("component").alias("component"))
+    label = confirmed(docs, members, width, near).groupBy("node").agg(F.min("component").alias("component"))
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_set"), F.coalesce("component", "rep").alias("component"))
     joined = rows.drop("sig").join(named, (F.col("set_key") == F.col("_set")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(c.table(spark, sf_dir, "documents"))
+    return near_duplicates(c.table(spark, sf_dir, "documents"), near=85)
 
 
 #: Every pair that shares a shingle, then the components by a recursive closure.

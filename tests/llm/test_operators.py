@@ -88,26 +88,27 @@ def test_components(spark, seed):
 # -- op1 ---------------------------------------------------------------------
 
 
-def brute_components(rows):
+def brute_components(rows, near=80):
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
     for i, t in rows:
         w = re.findall(common.WORD, (t or "").translate(lower))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     label = {i: i for i in sets}
-    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= near * len(sets[a] | sets[b])]
     for _ in range(len(sets)):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     return sets, label
 
 
-def test_minhash_is_exact(spark, docs, none):
-    sets, label = brute_components([(r[0], r[1]) for r in corpus()])
+@pytest.mark.parametrize("near", [80, 85])
+def test_minhash_is_exact(spark, docs, none, near):
+    sets, label = brute_components([(r[0], r[1]) for r in corpus()], near)
     want = [(i, len(sets[i]), label[i], label[i] == i) for i in sorted(sets)]
-    assert sorted(rows_of(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept")) == want
+    assert sorted(rows_of(minhash.near_duplicates(docs, near=near), "doc_id", "n_shingles", "component_id", "kept")) == want
     assert len({*label.values()}) < len(label) - 10
-    assert minhash.near_duplicates(none).count() == 0
+    assert minhash.near_duplicates(none, near=near).count() == 0
 
 
 @pytest.mark.parametrize("options", [{"node_rows": 4}, {"node_rows": 4, "levels": 0}])
