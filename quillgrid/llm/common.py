@@ -86,13 +86,15 @@ def mix_int(x: int) -> int:
 _powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
-def powers(n: int, which: str) -> np.ndarray:
-    """``base**i`` (up) or its inverse (down) for i < n, kept between batches."""
+def powers(n: int, which: str, most_kept: int = 1 << 21) -> np.ndarray:
+    """``base**i`` (up) or its inverse (down) for i < n, kept between batches up to
+    ``most_kept``: one very long text does not stay in the worker's memory."""
     have = _powers[which]
     while len(have) < n:
         step = pow(_BASE if which == "up" else _BASE_INV, len(have), 1 << 64)
         have = np.concatenate([have, have * U64(step)])
-        _powers[which] = have
+        if len(have) <= most_kept:
+            _powers[which] = have
     return have[:n]
 
 
@@ -123,7 +125,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column`` (one
     row at least): the kernels' memory does not follow Spark's batch size."""
     for batch in batches:

@@ -48,7 +48,7 @@ class Tokens:
     A chunk between white space is looked up, or met for the first time and kept;
     ``most`` bounds what is kept."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
