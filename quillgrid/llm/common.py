@@ -6,6 +6,8 @@ row offsets, never a Python loop over characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -125,6 +127,14 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back: workers are kept between tasks, what they held once
+    would count from then on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column`` (one
     row at least): the kernels' memory does not follow Spark's batch size."""
@@ -137,6 +147,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,8 +11,8 @@ best for it but not for all; released documents are pooled, dealt anew and packe
 again, until no gap closes (``rounds`` at most).
 
 Tokenising splits at white space, which the tokenizer drops and never joins over,
-and keeps the ids of chunks it has met in a bounded table (emptied when full), so
-memory does not follow the corpus.  The tokenizer file's path is a parameter; the
+and keeps the ids of chunks it has met in a bounded table (emptied when full and at a
+task's end), so memory does not follow the corpus.  The tokenizer file's path is a parameter; the
 file must be at that path on every executor.
 
 Defined cases: null and empty texts are the separator alone, one piece of length
@@ -77,13 +77,15 @@ class Tokens:
         return self.words[parts[0]] if len(parts) == 1 else b"".join(map(self.words.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
-        if len(self.words) > self.most // 2:
-            self.words.clear()
+        if len(self.chunks) > self.most or len(self.words) > self.most // 2:
+            self.forget()
         get = self.chunks.__getitem__
         return [self._direct(t) if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
 
 class _Table(dict):
     def __init__(self, make):
@@ -124,6 +126,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, separator: int
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder.forget()  # the worker may go on to another operator
+        c.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
