@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.functions import markdown
+from quillgrid.functions.report import report as in_words
 from quillgrid.operators.compare import ERROR_FIELDS, compare
 from quillgrid.plans import compiled as plans
 
@@ -120,6 +121,22 @@ def errors(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.posexplode("errors").alias("at", "e")).select(*keys, "at", "e.*")
 
 
+def reports(found: DataFrame, text: str = "text") -> DataFrame:
+    """``found`` with ``report``, the errors in words, a line each; null where valid.
+
+    Only rows with errors go to Python."""
+    keep = [k for k in found.columns if k != "report"]
+    out = T.StructType([*found.select(*keep).schema.fields, T.StructField("report", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            texts, wrong = (batch.column(keep.index(k)).to_pylist() for k in (text, "errors"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([in_words(t or "", e) for t, e in zip(texts, wrong, strict=True)], pa.string())], names=[*keep, "report"])
+
+    given = found.select(*keep)
+    return given.where("is_valid").withColumn("report", F.lit(None).cast("string")).unionByName(given.where("not is_valid").mapInArrow(run, out))
+
+
 def nodes(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """A row for each node of every document's tree."""
 
