@@ -80,20 +80,24 @@ class Tree:
 class _Best:
     """The best k (score, id) of each query so far."""
 
-    def __init__(self, own: np.ndarray, k: int):
-        self.own, self.k = own, k
+    def __init__(self, own: np.ndarray, k: int, only: np.ndarray, alone: np.ndarray):
+        """``only``: the first id of each vector; ``alone``: that it has no other."""
+        self.own, self.k, self.only, self.alone = own, k, only, alone
         self.score = np.full((len(own), k), -np.iinfo(np.int64).max)
         self.id = np.full((len(own), k), np.iinfo(np.int64).max)
 
-    def offer(self, q: np.ndarray, scores: np.ndarray, ids: list[np.ndarray]) -> None:
+    def offer(self, q: np.ndarray, scores: np.ndarray, r: np.ndarray, ids: list[np.ndarray]) -> None:
         worst = self.score[q, -1]
         for row in np.flatnonzero((scores >= worst[:, None]).any(1)):
             i = q[row]
-            hit = np.flatnonzero(scores[row] >= self.score[i, -1])
+            # the query's own row takes no place among the k
+            hit = np.flatnonzero((scores[row] >= self.score[i, -1]) & ~(self.alone[r] & (self.only[r] == self.own[i])))
+            if not len(hit):
+                continue
             if len(hit) > self.k:  # the k best distinct vectors, and all that tie with the last
                 cut = np.partition(scores[row][hit], -self.k)[-self.k]
                 hit = hit[scores[row][hit] >= cut]
-            some = [ids[j] for j in hit]
+            some = [ids[j] for j in r[hit]]
             new = np.concatenate(some)
             s = np.repeat(scores[row][hit], [len(x) for x in some])
             there = new != self.own[i]
@@ -116,7 +120,7 @@ def search(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.nda
     q_tree, r_tree = Tree(queries.astype(float)), Tree(points.astype(float))
     q_vec, r_vec = queries.astype(exact), points.astype(exact)
     q_norm, r_norm = (np.sqrt((x.points**2).sum(1)) for x in (q_tree, r_tree))
-    best = _Best(own, k)
+    best = _Best(own, k, np.array([x[0] for x in same]), np.array([x[0] == x[-1] for x in same]))
 
     def bound(a: int, nodes: list[int]) -> np.ndarray:
         qc, rc = q_tree.center[a], [r_tree.center[b] for b in nodes]
@@ -136,7 +140,7 @@ def search(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.nda
         down_q, down_r = q_tree.children[a], r_tree.children[b]
         if not down_q and not down_r:
             q, r = q_tree.order[slice(*q_tree.span[a])], r_tree.order[slice(*r_tree.span[b])]
-            best.offer(q, (q_vec[q] @ r_vec[r].T).astype(np.int64), [same[j] for j in r])
+            best.offer(q, (q_vec[q] @ r_vec[r].T).astype(np.int64), r, same)
             continue
         if down_r and (not down_q or r_tree.radius[b] >= q_tree.radius[a]):
             pairs = [(a, x, m) for x, m in zip(down_r, bound(a, down_r), strict=True)]

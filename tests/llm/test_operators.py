@@ -451,6 +451,19 @@ def test_top_k(spark, kind, coalesced):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["11", "12", "40", "64", "clusters", "shared id"])
+def test_own_row_takes_no_place(kind):
+    """Unit vectors: each is its own best match, in a leaf that holds its ten best."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(9, 16)), 30, axis=0) + rng.normal(size=(270, 16)) / 50 if kind == "clusters" else rng.normal(size=(int(kind) if kind.isdigit() else 50, 16))
+    v = np.floor(1024 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
+    ids = np.arange(len(v)) // (4 if kind == "shared id" else 1)
+    got = [(i, s) for _, i, s in covertree.search(v, ids, v, ids)]
+    for n, q in enumerate(v):
+        best = sorted((-int(x @ q), int(i)) for x, i in zip(v, ids, strict=True) if i != ids[n])[:10]
+        assert got[10 * n : 10 * n + 10] == [(i, -s) for s, i in best]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.0001]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0])]
