@@ -29,8 +29,9 @@ of all documents hold arrives once per task or part, not once per document.
 Memory follows parts and buckets, both sized from the total of bytes.
 
 Defined cases: null and empty texts, and texts under 100 bytes, lose nothing; rows
-that share a doc_id stand at the same place, so neither is earlier than the other;
-null ids come after all others; an empty table gives no row.
+that share a doc_id stand at the same place, so neither is earlier than the other, and
+each loses what its own text repeats; null ids come after all others and share one
+place; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -111,6 +112,44 @@ def _ids(batch) -> np.ndarray:
     return np.array([_LAST if x is None else x for x in col.to_pylist()], np.int64) if col.null_count else col.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _ties(docs) -> tuple[np.ndarray, np.ndarray]:
+    """(id, tie) of each row of a part, which has all rows of its ids: rows that share
+    an id are told apart by the digest of their text; the tie of any other row is 0."""
+    own = np.concatenate([np.zeros(0, np.int64), *(_ids(b) for b in docs.to_batches() if b.num_rows)])
+    tie = np.zeros(len(own), np.int64)
+    _, at, count = np.unique(own, return_inverse=True, return_counts=True)
+    texts = docs.column("text")
+    for k in np.flatnonzero(count[at] > 1):
+        tie[k] = _digest(hashlib.md5(texts[k].as_buffer() or b"").digest())
+    return own, tie
+
+
+def _digest(md5: bytes) -> int:
+    return int.from_bytes(md5[:8], "little", signed=True)
+
+
+def _numbers(*keys: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """A number for each (id, tie) of several lists, equal for equal pairs only."""
+    ids, tie = (np.concatenate(x) for x in zip(*keys, strict=True))
+    order = np.lexsort((tie, ids))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.append(0, (ids[order][1:] != ids[order][:-1]) | (tie[order][1:] != tie[order][:-1])))[: len(order)]
+    return np.split(out, np.cumsum([len(x[0]) for x in keys])[:-1])
+
+
+def _earliest(name, sums, ids, tie, start) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal contexts: those at the earliest place, each row's once, and those
+    that start later, whose bytes are covered."""
+    order = np.lexsort((tie, start, ids, sums, name))
+    if not len(order):
+        return order, order
+    differ = lambda *cols: np.append(True, np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in cols]))
+    group = differ(name, sums)
+    place = np.cumsum(differ(name, sums, ids, start))
+    later = place > place[group][np.cumsum(group) - 1]
+    return order[~later & differ(name, sums, ids, start, tie)], order[later]
+
+
 def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (c.mix(ids.astype(np.uint64)) % c.U64(parts)).astype(np.int64)
 
@@ -203,11 +242,11 @@ def _repeated(parts: int):
     return run
 
 
-def _spans(ids, start, end, parts, out) -> None:
+def _spans(ids, tie, start, end, parts, out) -> None:
     """Covered bytes, to their parts (kind 2)."""
     for part, some in _by(_part_of(ids, parts)):
-        some = some[np.lexsort((start[some], ids[some]))]
-        out.append((-1 - part, 2, _pack(_steps(ids[some]), _steps(start[some].astype(np.int32)), (end - start)[some].astype(np.int32))))
+        some = some[np.lexsort((start[some], tie[some], ids[some]))]
+        out.append((-1 - part, 2, _pack(_steps(ids[some]), tie[some], _steps(start[some].astype(np.int32)), (end - start)[some].astype(np.int32))))
 
 
 def _contexts(parts: int, buckets: int):
@@ -220,22 +259,27 @@ def _contexts(parts: int, buckets: int):
                 (i, p), _ = _unpack(blob, "<i8", "<i4")
                 hit.append((np.cumsum(i), np.cumsum(p).astype(np.int64)))
             else:
-                copies.append(g)
-        copies = np.unique(np.array(copies, np.int64))
+                copies.append((g, _digest(blob)))
+        every, ties = _ties(docs)
+        copy_id, copy_tie = np.array(copies, np.int64).reshape(-1, 2).T
+        shared = np.unique(every[ties != 0])
+        row_key, copy_key = _numbers((every, ties), (copy_id, np.where(np.isin(copy_id, shared), copy_tie, 0)))
+        copied = np.isin(row_key, copy_key)
         ids = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in hit)])
         at = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in hit)])
         order = np.lexsort((at, ids))
         ids, at = ids[order], at[order]
-        names, sums, docs_of, starts, counts, leads, texts, lengths = [], [], [], [], [], [], [], []
+        names, sums, docs_of, ties_of, starts, counts, texts, lengths = [], [], [], [], [], [], [], []
         out: list = []
+        done = 0
         for batch in c.pieces(docs.to_batches(), limit=1 << 20):
             data, off = c.column_bytes(batch.column("text"))
-            own = _ids(batch)
-            is_copy = np.isin(own, copies)
+            own, tie, is_copy = (x[done : done + batch.num_rows] for x in (every, ties, copied))
+            done += batch.num_rows
             size = np.diff(off)
             whole = np.flatnonzero(is_copy & (size >= LENGTH))
             if len(whole):
-                _spans(own[whole], np.zeros(len(whole), np.int64), size[whole], parts, out)
+                _spans(own[whole], tie[whole], np.zeros(len(whole), np.int64), size[whole], parts, out)
             row, first, count, place, name, prefix = anchors(data, off)
             # the documents' own answers, as (row, place) numbers
             one = np.unique(own)
@@ -252,26 +296,24 @@ def _contexts(parts: int, buckets: int):
             names.append(name)
             sums.append(c.mix(c.span_hash(prefix, first, last) + c.mix(((place - first) << 8 | count).astype(np.uint64))))
             docs_of.append(own[row])
+            ties_of.append(tie[row])
             starts.append(first - off[row])
             counts.append(count)
-            leads.append(place - first)
             lengths.append(last - first)
             spread = np.repeat(first - np.cumsum(np.append(0, last - first))[:-1], last - first) + np.arange((last - first).sum())
             texts.append(data[spread])
         if names:
-            name, sums, ids, start, count, lead, length = (np.concatenate(x) for x in (names, sums, docs_of, starts, counts, leads, lengths))
+            name, sums, ids, tie, start, count, length = (np.concatenate(x) for x in (names, sums, docs_of, ties_of, starts, counts, lengths))
             text = np.concatenate(texts)
             begin = np.cumsum(np.append(0, length))[:-1]
-            order = np.lexsort((start, ids, sums, name))
-            same = np.append(False, (name[order][1:] == name[order][:-1]) & (sums[order][1:] == sums[order][:-1]))
-            rest, order = order[same], order[~same]
+            order, rest = _earliest(name, sums, ids, tie, start)
             if len(rest):
-                _spans(ids[rest], start[rest], start[rest] + length[rest], parts, out)
+                _spans(ids[rest], tie[rest], start[rest], start[rest] + length[rest], parts, out)
             for bucket, some in _by(((name[order] >> c.U64(16)) % c.U64(buckets)).astype(np.int64)):
                 some = order[some]
                 n = length[some]
                 spread = np.repeat(begin[some] - np.cumsum(np.append(0, n))[:-1], n) + np.arange(n.sum())
-                out.append((bucket, 0, _pack(name[some], sums[some], ids[some], start[some].astype(np.int32), count[some].astype(np.int16), text[spread])))
+                out.append((bucket, 0, _pack(name[some], sums[some], ids[some], tie[some], start[some].astype(np.int32), count[some].astype(np.int16), text[spread])))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -303,7 +345,8 @@ def refine(text: np.ndarray, suffix: np.ndarray, owner: np.ndarray, rank: np.nda
     if len(live):
         order = np.lexsort((rank[live], bucket))
         first = np.append(True, bucket[order][1:] != bucket[order][:-1])
-        out[live[order[~first]]] = True
+        low = rank[live[order]]
+        out[live[order[low > low[first][np.cumsum(first) - 1]]]] = True
     return out
 
 
@@ -313,22 +356,19 @@ def _refined(parts: int, chunk: int = 2 << 20):
     def run(key, table):
         if key[0].as_py() < 0:
             return table
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(7)]
         for blob in table.column("blob").to_pylist():
-            got, text = _unpack(blob, "<u8", "<u8", "<i8", "<i4", "<i2")
+            got, text = _unpack(blob, "<u8", "<u8", "<i8", "<i8", "<i4", "<i2")
             for x, y in zip(cols, [*got, np.frombuffer(text, np.uint8)], strict=True):
                 x.append(y)
-        name, sums, ids, start, count, text = (np.concatenate(x) for x in cols)
+        name, sums, ids, tie, start, count, text = (np.concatenate(x) for x in cols)
         start, count = start.astype(np.int64), count.astype(np.int64)
         length = count + LENGTH - 1
         begin = np.cumsum(np.append(0, length))[:-1]
         out: list = []
-        order = np.lexsort((start, ids, sums, name))
-        same = np.append(False, (name[order][1:] == name[order][:-1]) & (sums[order][1:] == sums[order][:-1]))
-        if same.any():
-            rest = order[same]
-            _spans(ids[rest], start[rest], start[rest] + length[rest], parts, out)
-        order = order[~same]
+        order, rest = _earliest(name, sums, ids, tie, start)
+        if len(rest):
+            _spans(ids[rest], tie[rest], start[rest], start[rest] + length[rest], parts, out)
         run_of = name[order]
         first = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
         sizes = np.diff(np.append(first, len(order)))
@@ -350,13 +390,15 @@ def _refined(parts: int, chunk: int = 2 << 20):
             step = np.arange(m.sum()) - np.repeat(np.cumsum(np.append(0, m))[:-1], m)
             where = start[some][which] + step
             rank = np.empty(len(which), np.int64)
-            rank[np.lexsort((where, ids[some][which]))] = np.arange(len(which))
+            by = np.lexsort((where, ids[some][which]))
+            i, w = ids[some][which][by], where[by]
+            rank[by] = np.cumsum(np.append(0, (i[1:] != i[:-1]) | (w[1:] != w[:-1])))  # rows that share an id have equal ranks
             hit = refine(text[spread], place[which] + step, name[some][which], rank)
             on = np.flatnonzero(hit)
             if len(on):
                 lead = np.append(True, (which[on][1:] != which[on][:-1]) | (on[1:] != on[:-1] + 1))
                 tail = np.append(lead[1:], True)
-                found.append((ids[some][which[on[lead]]], where[on[lead]], where[on[tail]] + LENGTH))
+                found.append((ids[some][which[on[lead]]], tie[some][which[on[lead]]], where[on[lead]], where[on[tail]] + LENGTH))
             at = to
         if found:
             _spans(*(np.concatenate(x) for x in zip(*found, strict=True)), parts, out)
@@ -369,23 +411,23 @@ def _cut(keep: list[str], with_text: bool):
     """The last step: what is left of each document."""
 
     def run(docs, known):
-        got = [(np.cumsum(i), np.cumsum(s).astype(np.int64), n.astype(np.int64)) for i, s, n in (_unpack(b, "<i8", "<i4", "<i4")[0] for b in known.column("blob").to_pylist())]
-        ids, start, size = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in got)]) for k in range(3))
+        got = [(np.cumsum(i), t, np.cumsum(s).astype(np.int64), n.astype(np.int64)) for i, t, s, n in (_unpack(b, "<i8", "<i8", "<i4", "<i4")[0] for b in known.column("blob").to_pylist())]
+        ids, tie, start, size = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in got)]) for k in range(4))
+        rows, ids = _numbers(_ties(docs), (ids, tie))
         order = np.argsort(ids, kind="stable")
         ids, start, size = ids[order], start[order], size[order]
-        done = []
+        done, passed = [], 0
         for batch in c.pieces(docs.to_batches(), limit=1 << 20):
             data, off = c.column_bytes(batch.column("text"))
-            own = _ids(batch)
+            own = rows[passed : passed + batch.num_rows]
+            passed += batch.num_rows
             a, b = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
             take = np.repeat(a - np.cumsum(np.append(0, b - a))[:-1], b - a) + np.arange((b - a).sum())
             base = np.repeat(off[:-1], b - a)
-            top = np.repeat(off[1:], b - a)
             s, e = base + start[take], base + start[take] + size[take]
-            inside = e <= top  # rows that share an id may differ in length
             depth = np.zeros(len(data) + 1, np.int32)
-            np.add.at(depth, s[inside], 1)
-            np.add.at(depth, e[inside], -1)
+            np.add.at(depth, s, 1)
+            np.add.at(depth, e, -1)
             gone = np.cumsum(depth[:-1]) > 0
             lost = np.concatenate([[0], np.cumsum(gone)])
             edge = gone.copy()
@@ -417,12 +459,12 @@ def cut_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool
     parts = max(1, -(-total // PART))
     buckets = min(MOST_BUCKETS, max(1, -(-total // BUCKET)))
     groups = sums.where(F.col("n") >= LENGTH).groupBy("sum", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copies = sums.join(groups, ["sum", "n"]).where("id > least").select("id").distinct()
+    copies = sums.join(groups, ["sum", "n"]).where("id > least").select("id", F.unhex("sum").alias("sum")).distinct()
 
     one = F.pandas_udf(lambda s: _series(_part_of(s.to_numpy().astype(np.int64), parts)), "long")
     placed = docs.select(*dict.fromkeys(["doc_id", *keep, "text"])).withColumn("part", one(order))
     answers = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_name_anchors(parts, buckets), _ROW).groupBy("g").applyInArrow(_repeated(parts), _ROW)
-    told = answers.select((-1 - F.col("g")).alias("part"), "g", "kind", "blob").union(copies.select(one("id").alias("part"), F.col("id").alias("g"), F.lit(3).alias("kind"), F.lit(b"").alias("blob")))
+    told = answers.select((-1 - F.col("g")).alias("part"), "g", "kind", "blob").union(copies.select(one("id").alias("part"), F.col("id").alias("g"), F.lit(3).alias("kind"), F.col("sum").alias("blob")))
     spans = placed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_contexts(parts, buckets), _ROW).groupBy("g").applyInArrow(_refined(parts), _ROW)
     spans = spans.select((-1 - F.col("g")).alias("part"), "blob")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept_text string"] if with_text else [])])

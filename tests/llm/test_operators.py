@@ -308,6 +308,33 @@ def test_suffixes_random(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("part", [16 << 20, 2000])
+def test_suffixes_rows_that_share_an_id(spark, monkeypatch, part):
+    """Repeated rows, several texts of one id and null ids: strings count by (id, place)
+    and are cut from their own row only."""
+    monkeypatch.setattr(suffixes, "PART", part)
+    monkeypatch.setattr(suffixes, "BUCKET", part)
+    rng = random.Random(4)
+    parts = [prose(100 + i, 30) for i in range(8)]
+    rows = [(7, prose(1, 60)), (7, prose(1, 60)), (1, prose(2, 40)), (3, prose(2, 40)), (3, prose(3, 80)), (3, prose(2, 40)), (None, prose(2, 40)), (None, prose(4, 90)), (None, prose(4, 90)), (None, "short"), (None, None)]
+    rows += [(rng.choice([None, 10, 11, 12, 13]), "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))) for _ in range(30)]
+    least, want = {}, []
+    for k, (i, t) in enumerate(rows):
+        b = (t or "").encode()
+        for p in range(len(b) - 99):
+            least[b[p : p + 100]] = min(least.get(b[p : p + 100], (math.inf, math.inf)), (math.inf if i is None else i, p))
+    for k, (i, t) in enumerate(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if least[b[p : p + 100]] < (math.inf if i is None else i, p):
+                gone[p : p + 100] = b"x" * 100
+        want.append((k, len(b), sum(map(bool, gone)), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
+    assert rows_of(suffixes.cut_repeats(df, ["k"]), "k", "n_bytes", "n_removed", "kept_sha256") == sorted(want, key=str)
+    assert [w[2] for w in want[:6]] == [0, 0, 0, want[3][1], 0, want[5][1]] and want[7][2] == want[8][2] == 0
+
+
 def test_refine():
     text = np.frombuffer(b"x" * 30 + prose(1, 60).encode()[:200] + b"--" + prose(1, 60).encode()[:200], np.uint8)
     places = np.arange(len(text) - 99)
