@@ -412,6 +412,31 @@ def test_near_finds_every_pair(spark):
     assert len(got) == len({*got}) and {*got} == want and len(want) >= 40
 
 
+def test_near_copies_are_counted(spark, tmp_path):
+    """op6 counts every fingerprint within its radius, and that radius holds near copies."""
+    texts = []
+    for k in range(12):
+        words = prose(300 + k, 150).split()
+        texts += [" ".join(words), " ".join([*words[:70], "other", *words[71:]]), " ".join(words[3:])]
+    texts += [prose(400 + k, 3) for k in range(40)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [int(brute_simhash(t).hex(), 16) for t in texts]
+    want = [sum(0 < (a ^ b).bit_count() <= 20 for b in {*prints}) for a in prints]
+    got = {r.doc_id: r.near_count for r in simhash.op6_simhash(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(x > 0 for x in want[:36]) >= 34
+
+
+@pytest.mark.parametrize("radius", [0, 6, 20, 30])
+def test_near_at_any_radius(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 60)
+    rng = random.Random(3)
+    prints = [rng.getrandbits(128) for _ in range(25)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(128), k)) for p in prints for k in (1, 6, 7, 19, 20, 21, 30, 31)]
+    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a, b in itertools.combinations(sorted({*prints}), 2) if (a ^ b).bit_count() <= radius}
+    got = rows_of(simhash.near(spark.createDataFrame([(f"{x:032x}",) for x in prints], "fingerprint string"), radius), "a", "b", "distance")
+    assert len(got) == len(want) and {*got} == want and bool(want) == (radius > 0)
+
+
 # -- op7 ---------------------------------------------------------------------
 
 
