@@ -17,8 +17,11 @@ TOXIC_FROM = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold.  The model learns
-    from the labelled rows of ``docs`` that are not held out."""
+    from the labelled rows of ``docs`` that are not held out; if these teach it no
+    term, all documents have one score, which tells none apart, and all stay."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    if not len(model.slots):
+        return docs
     return toxicity.score(docs, model, docs.columns, "_score").where(F.col("_score") < TOXIC_FROM).select(docs.columns)
 
 

@@ -78,6 +78,18 @@ def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["empty", "not in common", "one class"])
+def test_no_usable_label_drops_no_document(spark, sf_dir, tmp_path, kind):
+    docs, labels = (common.table(spark, sf_dir, k) for k in ("documents", "labels"))
+    labels = {"empty": labels.limit(0), "not in common": labels.selectExpr("doc_id + 1000 as doc_id", "quality", "toxic"), "one class": labels.where("toxic = 1")}[kind]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    if kind == "empty":
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
