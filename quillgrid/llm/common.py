@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -44,27 +45,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session has none, as in local tests, is a temporary one set.
+    Only a local session that has none, as in tests, gets a temporary one: on a cluster
+    every executor would write to its own disk, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgrid-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; Spark's JVM deletes it at its end."""
+    path = f"{shared_dir(spark)}/quillgrid/{spark.sparkContext.applicationId}"
+    at, system = _hadoop(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage,
     survives lost executors, and keeps later scans columnar."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        at, system = _hadoop(df.sparkSession, df._staged_at)
+        system.delete(at, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], copies: str, total: int, share: int = 5_000) -> DataFrame:
+    """Inner join on ``keys``, unique in ``right``, whose column ``copies`` counts the
+    rows of ``left`` with that key, of ``total``.  Keys of more than one row in ``share``
+    (fewer than ``share`` of them) are broadcast, so no key's rows meet in one task.
+
+    ``left`` is read twice: it should be a staged table."""
+    hot = F.broadcast(right.where(F.col(copies) * share > total))
+    met = left.join(hot, keys)
+    rest = left.join(F.broadcast(right.where(F.col(copies) * share > total).select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(right.where(F.col(copies) * share <= total), keys))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -192,20 +238,24 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, component) with component the least node reachable; from (src, dst).
 
     Alternating large-star and small-star steps on distributed edges (Kiveris
-    et al. 2014): every step maps each edge end to the least neighbour with a
-    partial aggregation and one join, so a hub is never gathered in one task.
+    et al. 2014): every step maps each edge end to the least neighbour, by a partial
+    aggregation and a join in which the nodes with most edges are broadcast, so a hub's
+    edges are in no step gathered in one task.
     """
-    spark = edges.sparkSession
     pairs = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
-    seen = None
+    seen, total = None, pairs.count()
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        pairs = staged(moved, name)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = staged(join_counted(both, least, ["u"], "_n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        size = large.count()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        moved = join_counted(large, least, ["u"], "_n", size).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        after = staged(moved, name)
+        discard(pairs, large)
+        pairs = after
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total = now[0]
         if tuple(now) == seen:
             break
         seen = tuple(now)

@@ -9,8 +9,9 @@ frames can list the frames.
 Of records with equal payloads of ``revisit_from`` bytes or more, that with the
 largest page id is the response and the others are revisits that refer to it.
 The decision is a partial aggregation on (digest, length); only revisits, as
-narrow rows, are joined back to the pages.  Pages are dealt by page id, so a
-payload that a third of all pages share is spread evenly.
+narrow rows, are joined back to the pages on id, digest and length.  The digests of
+most pages are broadcast, and pages are dealt by all three, so neither a payload nor an
+id that a third of all pages share is one task's.
 
 Tasks write archives straight to the shared folder through Arrow's filesystems
 (file, hdfs, s3, gcs), under a name of the attempt, and rename at the end: a task
@@ -18,9 +19,12 @@ that is run again leaves a whole file.  An archive is closed at about
 ``archive_bytes`` of payload.
 
 Defined cases: null html is an empty payload, a response; empty tables give no
-archive; repeated page ids each get their record (a revisit then refers to the
-equal id); null page ids and urls are written as empty headers and read as null;
-other columns are ignored.
+archive; repeated page ids each get their record, and only those rows of an id are
+revisits whose own payload a larger id has; null page ids are always responses; null
+page ids and urls are written as empty headers and read as null; a payload of any
+length is one record, held in memory while it is written; other columns are ignored.
+A dictionary is trained on the first 16 KB of each of an archive's first records;
+records themselves are written whole.
 """
 
 from __future__ import annotations
@@ -45,11 +49,13 @@ _ID = "urn:x-page:"
 
 
 def decide(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
-    """(page_id, refers_to) of the pages whose record is a revisit."""
+    """(page_id, digest, n, refers_to) of the pages whose record is a revisit: their
+    payload, of ``n`` bytes, is that of a page with a larger id."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sums = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= revisit_from)
+    sums = c.staged(pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where((F.col("n") >= revisit_from) & F.col("page_id").isNotNull()), "payloads")
     first = sums.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    return sums.join(first, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    met = c.join_counted(sums, first, ["digest", "n"], "copies", sums.count())
+    return met.where("page_id < refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def record(page_id, url, payload: bytes, refers_to, digest: bytes | None = None) -> bytes:
@@ -160,9 +166,13 @@ def read(stream, step: int = 1 << 20) -> Iterator[bytes]:
 def write(pages: DataFrame, folder: str, revisit_from: int = 1000, archive_bytes: int = 128 << 20) -> DataFrame:
     """Write every page's record under ``folder``; a row for each archive."""
     schema = "path string, records long, bytes long"
-    # the few columns of a revisit meet the pages on the page id
-    revisits = decide(pages, revisit_from).withColumnRenamed("page_id", "_revisit")
-    dealt = pages.select("page_id", "url", "html").join(revisits, F.col("page_id") == F.col("_revisit"), "left").select("page_id", "url", "html", "refers_to")
+    # the few columns of a revisit meet the pages on the page id, and their own payload:
+    # a page id may have several, of which only some are revisits
+    revisits = decide(pages, revisit_from).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), "refers_to")
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    given = pages.select("page_id", "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"))
+    same = (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    dealt = given.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches):
         where, base = fs.FileSystem.from_uri(folder)
@@ -228,7 +238,7 @@ def read_back(archives: DataFrame) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Write, keep the list of archives in the shared folder, and read back."""
-    folder = folder or f"{c.shared_dir(spark)}/quillgrid/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{c.work_dir(spark)}/warc-{uuid.uuid4().hex}"
     made = c.staged(write(pages, folder, **options), "warc-list")
     return read_back(made.repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
 

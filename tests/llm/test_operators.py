@@ -462,6 +462,44 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(spark, pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_keeps_every_payload_of_an_id(spark, tmp_path):
+    """Of an id's rows only those are revisits whose own payload a larger id has."""
+    a, b = "A" * 2000, "B" * 2000
+    rows = [(1, "u", a), (1, "u", b), (2, "u", a), (2, "u", a), (None, "u", a), (None, "u", b)]
+    got = warc.archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    sha = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b)}
+    want = [(1, sha[a], "revisit", 2), (1, sha[b], "response", None), *[(2, sha[a], "response", None)] * 2, (None, sha[a], "response", None), (None, sha[b], "response", None)]
+    assert sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    bodies = [warc.parse(raw)[1] for path in (tmp_path / "w").glob("*.warc.zst") for raw in warc.read(path.open("rb"))]
+    assert bodies.count(b.encode()) == 2 and bodies.count(a.encode()) == 3 and bodies.count(b"") == 1
+
+
+def test_join_with_hot_keys(spark):
+    rows = [(k % 7 if k % 3 else 99, k) for k in range(300)]
+    left = spark.createDataFrame(rows, "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    for share in (1, 5, 10, 1000):
+        got = common.join_counted(left, right, ["k"], "n", 300, share)
+        assert sorted((r.k, r.x) for r in got.collect()) == sorted(rows)
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    class Held:
+        def isDefined(self):
+            return False
+
+    class Sc:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Held()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, *a: None})()
+        sparkContext = Sc()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 def test_warc_frames_stand_alone():
     out = io.BytesIO()
     out.close = lambda: None
