@@ -1,32 +1,39 @@
-"""Near-duplicate documents: chosen-path similarity join on MinHash tokens.
+"""Near-duplicate documents: chosen-path set similarity join on MinHash tokens.
 
 A document is the set of its distinct five-word shingles.  Documents with equal
 sets are one class; only the class with its least doc_id goes on, so thousands of
 copies are one node.  Classes are then branched by minwise tokens (Christiani,
 Pagh and Sivertsen 2018): each of ``trees`` independent trees sends a class to the
 node named by its minwise token at that tree's position; a node of few classes is
-compared exhaustively, a larger one branches on by the tokens at positions drawn
-from the node's own seed, twice per level, so that a pair at the threshold stays
-together with more than its expected share.  A pair at similarity s meets in a
-tree with probability s at least near the root: at 0.8 eight trees miss under
-one in 10,000.
+compared exhaustively, a larger one branches on by tokens at positions drawn
+from the node's own seed, 1.25 times a level in the mean, the reciprocal of the
+similarity sought, so that what travels does not grow with the depth.
 
 Documents are linked at a similarity of ``near`` hundredths or more (0.8 unless
-told otherwise).  A meeting is a candidate when its signatures agree in 64 places
-up to 4.5 deviations below the threshold.  Candidates are only connected, not listed, so a
-node of n near copies gives n - 1 links.  Every connected group of candidates is
-then compared exactly, on full sets, in one task or, beyond ``group_shingles``, in
-pairs of blocks; a comparison is skipped only between documents that are already
-linked through others.  Components are of confirmed links only.
-
-Nodes above ``node_rows`` branch in a distributed level of their own; what is
-still above it after ``levels`` (classes that agree in as many tokens) is joined
-as one candidate group, which the block comparison settles.
-
-Defined cases: null, empty and blank texts have no shingle, are linked with
-nothing and kept; fewer than five words are one shingle; where rows share a
-doc_id but not the text, each takes the least component of them; a null doc_id is linked with nothing and kept; an empty table
-gives an empty result; other columns are ignored.
+told otherwise).  Two classes of a node are candidates when their signatures agree
+in 64 places up to 4.5 deviations below the threshold.
+
+1. A node finds its candidate groups and sends, for each row of a group of n, one
+   candidate pair: n - 1 pairs, stars about rows met early.  Pairs are confirmed on
+   full sets; a text travels once for each of its pairs, a hub's once more for each
+   ``GROUP_SHINGLES`` of its partners.
+2. Groups whose pairs were all confirmed, or whose rows are linked through others, are
+   done: no pair of theirs can join anything new.  The rows of the others are
+   compared once more, exactly, on full sets, group by group; a comparison is
+   skipped only between documents that are already linked through others.
+
+A group lies within one node, so both steps are bounded by nodes of ``node_rows``
+classes, whatever the number of copies.  What is still larger after ``levels``
+(classes that agree in as many tokens) is dealt to sub-nodes of that size, each of
+which also gets the node's ``LEADERS`` least classes; where after step 1 such a
+node has classes outside its largest component, these visit every sub-node in step 2:
+that is exact, and all that grows with a node's size squared.
+
+Defined cases: null, empty and blank texts have no shingle and are linked with
+nothing; fewer than five words are one shingle; rows that share a doc_id are one
+document, linked with whatever any of them is linked with; a null doc_id is linked with
+nothing and kept; a very long text is one set, held whole by the task that compares
+it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +50,8 @@ from . import common as c
 PLACES = 64
 _TIMES = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 31, PLACES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, PLACES).astype(np.uint32)
-WIDTH, NEAR, TREES, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 80, 8, 50_000, 4, 4 << 20
+WIDTH, NEAR, TREES, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 80, 8, 2_000, 6, 2 << 20
+LEADERS = 8
 
 
 def agreement(near: int, deviations: float) -> float:
@@ -80,10 +88,11 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def groups_of(sig: np.ndarray, size: np.ndarray, near: int) -> np.ndarray:
-    """Label of each row: connected by signatures that agree and sizes that allow."""
+def groups_of(sig: np.ndarray, size: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label of each row, connected by signatures that agree and sizes that allow; and
+    the row that met it (itself for a group's first)."""
     n = len(sig)
-    label = np.full(n, -1)
+    label, by = np.full(n, -1), np.arange(n)
     rest = np.arange(n)
     least = agreement(near, 4.5)
     for root in range(n):
@@ -93,14 +102,14 @@ def groups_of(sig: np.ndarray, size: np.ndarray, near: int) -> np.ndarray:
         rest = rest[rest != root]
         todo = [root]
         while todo and len(rest):
-            u = todo.pop()
+            u = todo.pop(0)
             alike = ((sig[rest] == sig[u]).sum(1) >= least) & (np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u]))
             hit = rest[alike]
             if len(hit):
-                label[hit] = root
+                label[hit], by[hit] = root, u
                 rest = rest[~alike]
                 todo += hit.tolist()
-    return label
+    return label, by
 
 
 def _branches(seed: int, many: int = 2) -> list[int]:
@@ -108,14 +117,14 @@ def _branches(seed: int, many: int = 2) -> list[int]:
 
 
 def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> None:
-    """Branch a node in memory; append (id, least id of its group) links."""
+    """Branch a node in memory; append (id, id, size, group) candidate pairs."""
     if len(ids) <= small or depth >= deepest:
-        label = groups_of(sig, size, near)
-        rank = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(rank, label, ids)
-        low = rank[label]
-        more = ids != low
-        out.append((ids[more], low[more]))
+        label, by = groups_of(sig, size, near)
+        more = by != np.arange(len(ids))
+        if more.any():
+            group = c.mix(ids[label[more]].astype(np.uint64) + c.U64(c.mix_int(seed + depth))).astype(np.int64)
+            a, b = ids[more], ids[by[more]]
+            out.append((np.maximum(a, b), np.minimum(a, b), size[more], group))
         return
     for place in _branches(seed):
         order = np.argsort(sig[:, place], kind="stable")
@@ -125,14 +134,14 @@ def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> Non
                 _node(sig[part], size[part], ids[part], c.mix_int(seed ^ (place << 20) ^ int(sig[part[0], place])), near, out, depth + 1, small, deepest)
 
 
-def _node_links(near: int):
+def _node_pairs(near: int):
     def run(key, table):
+        table = table.sort_by("rep")
         ids = table.column("rep").to_numpy()
         raw = b"".join(table.column("sig").to_pylist())
         out: list = []
         _node(np.frombuffer(raw, np.uint16).reshape(-1, PLACES), table.column("n").to_numpy(), ids, key[0].as_py() & (2**64 - 1), near, out)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]), pa.int64()) for k in range(4)], names=["src", "dst", "n", "group"])
 
     return run
 
@@ -142,27 +151,61 @@ def _token(place) -> F.Column:
     return F.substring(F.hex("sig"), place * 4 + 1, F.lit(4))
 
 
-def candidates(classes: DataFrame, near: int = NEAR, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> DataFrame:
-    """(src, dst) links whose components hold every candidate pair.  classes: rep, n, sig."""
+def node_tables(classes: DataFrame, trees: int = TREES, node_rows: int = NODE_ROWS, levels: int = LEVELS) -> tuple[DataFrame, DataFrame | None]:
+    """(node, rep) of nodes of 2 to ``node_rows`` classes, and (node, rep, blocks) of
+    those still larger after ``levels``.  classes: rep, n, sig."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(t), _token(F.lit((11 + 7 * t) % PLACES))) for t in range(trees))))
-    nodes = classes.select(roots.alias("node"), "rep")
-    links = None
+    nodes = c.staged(classes.select(roots.alias("node"), "rep"), "nodes")
+    small, deep = None, None
     for level in range(levels + 1):
-        sizes = c.staged(nodes.groupBy("node").agg(F.count("*").alias("here"), F.min("rep").alias("least")).where("here > 1"), "nodes")
-        large = sizes.where(F.col("here") > node_rows)
-        full = nodes.join(sizes.where(F.col("here") <= node_rows).select("node"), "node").join(classes, "rep")
-        found = full.groupBy("node").applyInArrow(_node_links(near), "src long, dst long")
-        links = found if links is None else links.union(found)
-        if large.isEmpty():
+        sizes = c.staged(nodes.groupBy("node").agg(F.count("*").alias("here")).where("here > 1"), "sizes")
+        total = nodes.count()
+        placed = c.staged(c.join_counted(nodes, sizes, ["node"], "here", total), "placed")
+        here = placed.where(F.col("here") <= node_rows).select("node", "rep")
+        small = here if small is None else small.union(here)
+        stay = placed.where(F.col("here") > node_rows)
+        if sizes.where(F.col("here") > node_rows).isEmpty():
             break
-        stay = nodes.join(large.select("node", "least"), "node")
         if level == levels:
-            links = links.union(stay.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
+            deep = stay.select("node", "rep", F.ceil(F.col("here") / node_rows).cast("long").alias("blocks"))
             break
-        spread = F.explode(F.array(*(F.struct(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(PLACES)).cast("int").alias("place"), F.lit(b).alias("b")) for b in (0, 1))))
+        # one branch, and a second from every fourth node
+        spread = F.explode(F.filter(F.array(*(F.struct(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(PLACES)).cast("int").alias("place"), F.lit(b).alias("b"), ((F.lit(b) == 0) | (F.pmod(F.xxhash64("node", F.lit("second")), F.lit(4)) == 0)).alias("on")) for b in (0, 1))), lambda x: x.on))
         onward = stay.join(classes, "rep").select("node", "rep", "sig", spread.alias("s"))
-        nodes = c.staged(onward.select(F.xxhash64("node", "s.b", _token(F.col("s.place"))).alias("node"), "rep"), "branches")
-    return links
+        nodes = c.staged(onward.select(F.xxhash64("node", "s.b", _token(F.col("s.place"))).alias("node"), "rep"), "nodes")
+    return small, deep
+
+
+def _sub_nodes(deep: DataFrame) -> DataFrame:
+    """(node, rep): sub-nodes, each with the leaders of its node."""
+    sub = lambda k: F.xxhash64("node", F.lit("sub"), k)
+    own = deep.select(sub(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("node"), "rep")
+    least = deep.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(256))).groupBy("node", "salt").agg(F.min("rep").alias("rep"), F.first("blocks").alias("blocks"))
+    first = least.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("rep")), 1, LEADERS).alias("reps"), F.first("blocks").alias("blocks"))  # of 256 a node
+    lead = first.select("node", F.explode("reps").alias("rep"), "blocks").select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), sub)).alias("node"), "rep")
+    return own.union(lead).distinct()
+
+
+def _outsiders(deep: DataFrame, label: DataFrame) -> DataFrame | None:
+    """(node, rep): sub-nodes of the nodes with classes outside their largest component,
+    with those classes in each."""
+    named = c.staged(deep.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "deep")
+    counts = named.groupBy("node", "component").agg(F.count("*").alias("n"))
+    top = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("x"), F.sum("n").alias("_here")).select("node", F.col("x.component").alias("top"), "_here")
+    out = c.staged(c.join_counted(named, top, ["node"], "_here", max(1, named.count())).where("component <> top").select("node", "rep", "blocks"), "outsiders")
+    if out.isEmpty():
+        return None
+    sub = lambda k: F.xxhash64("node", F.lit("sub"), k)
+    some = deep.join(F.broadcast(out.select("node").distinct()) if out.count() <= 100_000 else out.select("node").distinct(), "node", "left_semi")
+    own = some.select(sub(F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("node"), "rep")
+    visit = out.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), sub)).alias("node"), "rep")
+    return own.union(visit).distinct()
+
+
+def candidates(nodes: DataFrame, classes: DataFrame, near: int = NEAR) -> DataFrame:
+    """(src, dst, n, group): candidate pairs, src > dst, that connect each node's candidate
+    groups, and the size of one of them."""
+    return nodes.join(classes, "rep").groupBy("node").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst")
 
 
 def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
@@ -182,14 +225,7 @@ def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
         while todo and len(rest):
             u = todo.pop()
             may = rest[(np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u])) & ((sig[rest] == sig[u]).sum(1) >= least)]
-            own = found[u]
-            hit = []
-            for v in may.tolist():
-                other = found[v]
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                both = int((own[at] == other).sum())
-                if 100 * both >= near * (len(own) + len(other) - both):
-                    hit.append(v)
+            hit = [v for v in may.tolist() if _similar(found[u], found[v], near)]
             if hit:
                 label[hit] = root
                 rest = rest[label[rest] < 0]
@@ -197,43 +233,119 @@ def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
     return label
 
 
-def confirmed(docs: DataFrame, members: DataFrame, width: int = WIDTH, near: int = NEAR, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """(node, component) over full sets.  members: rep, n, candidate group."""
-    load = members.groupBy("group").agg(F.sum("n").alias("load"))
-    load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"))
+def _sets_of(table, width: int) -> list[np.ndarray]:
+    return [s for b in c.pieces(table.select(["text"]).to_batches(), limit=1 << 20) for s in sets(*c.column_bytes(b.column(0)), width)]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, near: int) -> bool:
+    if not len(a) or min(len(a), len(b)) * 100 < near * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return 100 * both >= near * (len(a) + len(b) - both)
+
+
+def confirmed_pairs(texts: DataFrame, pairs: DataFrame, width: int = WIDTH, near: int = NEAR, load: int = GROUP_SHINGLES) -> DataFrame:
+    """The (src, dst) of ``pairs`` that are similar on full sets.  texts: rep, text."""
+    stars = pairs.groupBy("dst").agg(F.count("*").alias("_n"), F.sum("n").alias("load"))
+    total = max(1, pairs.count())
+    dealt = c.staged(c.join_counted(pairs, stars, ["dst"], "_n", total).select("src", "dst", "n", F.pmod(F.xxhash64("src"), F.ceil(F.col("load") / load)).alias("salt")), "stars")
+    whole = dealt.agg(F.sum("n")).first()[0] or 0
+    # a bucket holds whole stars (or a hub's parts), about ``load`` shingles, hubs included
+    bucket = F.pmod(F.xxhash64("dst", "salt"), F.lit(max(1, -(-2 * whole // load))))
+    ends = dealt.select(bucket.alias("bucket"), "dst", "salt", F.col("src").alias("rep")).union(dealt.select(bucket, "dst", "salt", "dst").distinct())
+
+    def run(key, table):
+        table = table.sort_by([("dst", "ascending"), ("salt", "ascending")])
+        ids, found = table.column("rep").to_numpy(), _sets_of(table, width)
+        star = np.stack([table.column(k).to_numpy() for k in ("dst", "salt")])
+        cut = [0, *(np.flatnonzero((star[:, 1:] != star[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+        src, dst = [], []
+        for a, b in zip(cut, cut[1:], strict=False):
+            hub = star[0, a]
+            at = [found[k] for k in range(a, b) if ids[k] == hub]
+            for k in range(a, b):
+                if ids[k] != hub and any(_similar(own, found[k], near) for own in at):
+                    src.append(int(ids[k]))
+                    dst.append(int(hub))
+        return pa.table([pa.array(x, pa.int64()) for x in (src, dst)], names=["src", "dst"])
+
+    return ends.join(texts, "rep").groupBy("bucket").applyInArrow(run, "src long, dst long").distinct()
+
+
+def confirmed(texts: DataFrame, members: DataFrame, width: int = WIDTH, near: int = NEAR, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(src, dst) links over full sets that connect what is similar within each group.
+
+    members: rep, n, group; a group is part of one node, so the pairs of blocks that one
+    of more than ``group_shingles`` takes do not grow with the table."""
+    load = members.groupBy("group").agg(F.sum("n").alias("load"), F.count("*").alias("_n"))
+    load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"), "_n")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
-    placed = members.join(load, "group").select("rep", "group", "blocks", pairs.alias("pair"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep").select("group", "blocks", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "text")
+    placed = members.join(load, "group").select("rep", "group", pairs.alias("pair"))
+    dealt = texts.join(placed, "rep").select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "text")
 
     def run(key, table):
         table = table.sort_by("rep")
-        ids, blocks = table.column("rep").to_numpy(), table.column("blocks")[0].as_py()
-        found = [s for b in c.pieces(table.select(["text"]).to_batches(), limit=1 << 20) for s in sets(*c.column_bytes(b.column(0)), width)]
-        there = np.array([len(s) > 0 for s in found])
-        ids, found = ids[there], [s for s in found if len(s)]
-        low = ids[exact_groups(found, near)] if len(ids) else ids
-        return pa.table([pa.array(ids, pa.int64()), pa.array(low, pa.int64()), pa.array(np.full(len(ids), blocks == 1))], names=["src", "dst", "single"])
-
-    found = c.staged(texts.groupBy("group", "i", "j").applyInArrow(run, "src long, dst long, single boolean"), "confirmed")
-    label = found.where("single").select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    across = found.where("not single and src <> dst")
-    if not across.isEmpty():
-        label = label.union(c.connected_components(across.select("src", "dst"), "across"))
-    return label
+        ids, low = table.column("rep").to_numpy(), table.column("rep").to_numpy()
+        if len(ids):
+            low = ids[exact_groups(_sets_of(table, width), near)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(low, pa.int64())], names=["src", "dst"])
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(run, "src long, dst long").where("src <> dst").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_rows: int = NODE_ROWS, levels: int = LEVELS, trees: int = TREES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = c.staged(sketched(docs, width), "sketches")
     there = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = c.staged(there.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig")).alias("x")).select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.sig"), "classes")
-    group = c.connected_components(candidates(classes.select("rep", "n", "sig"), near, **options), "candidates")
-    members = classes.join(group, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("group"))
-    label = confirmed(docs, members, width, near).groupBy("node").agg(F.min("component").alias("component"))
-    named = classes.join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_set"), F.coalesce("component", "rep").alias("component"))
-    joined = rows.drop("sig").join(named, (F.col("set_key") == F.col("_set")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # classes are known by their least doc_id; the classes of one id are one document
+    classes = c.staged(there.groupBy("set_key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig")).alias("x"), F.count("*").alias("copies")).select("set_key", F.col("x.doc_id").alias("rep"), "x.n", "x.sig", "copies"), "classes")
+    repeated = c.staged(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("n > 1").select("doc_id", (F.col("a") < F.col("b")).alias("several")), "repeated-ids")
+    some_repeat = not repeated.isEmpty()
+    several = repeated.where("several").select("doc_id")
+    edges = there.join(several, "doc_id").select("doc_id", "set_key").distinct().join(classes, "set_key").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")).where("src <> dst") if some_repeat else None
+
+    one = classes.select("rep", "n", "sig")
+    nodes, deep = node_tables(one, trees, node_rows, levels)
+    met = c.staged(candidates(nodes if deep is None else nodes.union(_sub_nodes(deep)), one, near), "met")
+    pairs = c.staged(met.groupBy("src", "dst").agg(F.max("n").alias("n")), "pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")
+    texts = c.staged(texts.distinct() if some_repeat else texts, "candidate-texts")
+    sure = c.staged(confirmed_pairs(texts, pairs, width, near, load=group_shingles), "links")
+    links = sure if edges is None else sure.union(edges)
+    label = c.connected_components(links, "first-components")
+
+    failed = c.staged(met.join(sure, ["src", "dst"], "left_anti"), "failed")
+    open_groups = _apart(failed, label).select("group").distinct()
+    if deep is not None and (outside := _outsiders(deep, label)) is not None:
+        late = c.staged(candidates(outside, one, near), "met")
+        open_groups, met = open_groups.union(_apart(late, label).select("group").distinct()), met.union(late)
+        ends = late.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+        texts = texts.union(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")).distinct()
+    members = met.join(open_groups, "group").select("group", F.explode(F.array("src", "dst")).alias("rep"), "n").groupBy("group", "rep").agg(F.max("n").alias("n"))
+    again = c.staged(confirmed(texts, c.staged(members, "members"), width, near, group_shingles), "links")
+    if not again.isEmpty():
+        label = c.connected_components(links.union(again))
+
+    named = classes.select("set_key", "rep", "copies").join(label, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"), "copies")
+    in_class = c.join_counted(there.drop("sig"), named, ["set_key"], "copies", max(1, there.count())).select("doc_id", "n_shingles", "component")
+    # without words: the component of their id, where it has other rows
+    bare = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    bare = bare.join(label, (F.col("doc_id") == F.col("node")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", "component") if some_repeat else bare.withColumn("component", F.lit(None).cast("long"))
+    every = in_class.union(bare)
+    return every.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (staged) whose ends are of two components."""
+    for k in ("src", "dst"):
+        ends = pairs.groupBy(k).agg(F.count("*").alias("_n")).join(label, F.col(k) == F.col("node"), "left").select(k, F.coalesce("component", k).alias(f"{k}_in"), "_n")
+        pairs = c.join_counted(pairs, ends, [k], "_n", max(1, pairs.count())).drop("_n")
+        if k == "src":
+            pairs = c.staged(pairs, "ends")
+    return pairs.where("src_in <> dst_in")
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

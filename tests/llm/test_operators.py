@@ -111,19 +111,23 @@ def test_minhash_is_exact(spark, docs, none, near):
     assert minhash.near_duplicates(none, near=near).count() == 0
 
 
-@pytest.mark.parametrize("options", [{"node_rows": 4}, {"node_rows": 4, "levels": 0}])
+@pytest.mark.parametrize("options", [{"node_rows": 4}, {"node_rows": 4, "levels": 0}, {"group_shingles": 300}])
 def test_minhash_large_nodes(spark, docs, options):
-    """The distributed levels and the joined remainder lose no link."""
+    """The distributed levels, sub-nodes with their outsiders and blocks lose no link."""
     want = brute_components([(r[0], r[1]) for r in corpus()])[1]
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, **options).collect()} == want
 
 
-def test_minhash_in_blocks(spark, docs):
-    """A group beyond the bound is compared in pairs of blocks, with equal results."""
-    want = brute_components([(r[0], r[1]) for r in corpus()])[1]
-    members = docs.where("length(text) > 500").select(F.col("doc_id").alias("rep"), F.lit(200).alias("n"), F.lit(0).alias("group"))
-    got = {r.node: r.component for r in minhash.confirmed(docs, members, group_shingles=700).collect()}
-    assert len(got) > 10 and all(want[i] == k for i, k in got.items())
+@pytest.mark.parametrize("options", [{}, {"node_rows": 10, "levels": 1}])
+def test_minhash_chains(spark, options):
+    """Candidates that are not links beside chains of links, in one large group."""
+    base = prose(1, 120).split()
+    rows = [(k, " ".join([*base[k:], *prose(500 + k, k).split()])) for k in range(0, 40)]
+    rows += [(100 + k, " ".join([*base[:60], *prose(600 + k, 12 + k % 9).split(), *base[60:]])) for k in range(30)]
+    want = brute_components(rows)[1]
+    assert len({*want.values()}) > 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, **options).collect()} == want
 
 
 def test_minhash_nulls_and_repeats(spark):
@@ -133,6 +137,14 @@ def test_minhash_nulls_and_repeats(spark):
     assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False)], key=str)
 
 
+def test_minhash_ids_of_several_texts(spark):
+    """Rows that share an id are one document, linked through any of them."""
+    x, y, z = (prose(k, 60) for k in (5, 6, 7))
+    rows = [(1, x), (2, x), (2, y), (2, None), (3, y + " more"), (4, z), (4, z), (5, z + " more"), (6, ""), (6, z), (7, None)]
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id", "kept")
+    assert got == sorted([(1, 1, True), *[(2, 1, False)] * 3, (3, 1, False), *[(4, 4, True)] * 2, (5, 4, False), *[(6, 4, False)] * 2, (7, 7, True)], key=str)
+
+
 # -- op2 ---------------------------------------------------------------------
 
 
