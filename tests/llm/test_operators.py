@@ -560,12 +560,32 @@ def test_own_row_takes_no_place(kind):
     v = np.repeat(rng.normal(size=(9, 16)), 30, axis=0) + rng.normal(size=(270, 16)) / 50 if kind == "clusters" else rng.normal(size=(int(kind) if kind.isdigit() else 50, 16))
     v = np.floor(1024 * v / np.linalg.norm(v, axis=1)[:, None]).astype(np.int64)
     ids = np.arange(len(v)) // (4 if kind == "shared id" else 1)
-    got = [(i, s) for _, i, s in covertree.search(v, ids, v, ids)]
+    got = [(i, s) for _, i, s in covertree.search(v, ids, covertree.Points(v, ids, 10))[0]]
     for n, q in enumerate(v):
         best = sorted((-int(x @ q), int(i)) for x, i in zip(v, ids, strict=True) if i != ids[n])[:10]
         assert got[10 * n : 10 * n + 10] == [(i, -s) for s, i in best]
 
 
+def test_clusters_are_pruned(spark):
+    """Blocks that no query's floor allows are not visited; the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    v = (np.repeat(rng.normal(size=(20, 8)) * 1000, 60, axis=0) + rng.normal(size=(1200, 8)) * 9).astype(np.int64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<long>")
+    got, done, every = covertree.search_report(df, df.where("vec_id % 100 = 0"), 10, block_rows=100)
+    want = brute_top([(i, x) for i, x in enumerate(v) if i % 100 == 0], list(enumerate(v)), 10)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=str) and done < every / 3
+
+
+def test_scores_beyond_64_bits_stop_there(spark):
+    big = (1 << 63) - 1
+    rows = [(0, [big, 1]), (1, [big, 5]), (2, [-big, 0]), (3, [0, 2]), (4, [big, 5]), (4, [big, 5])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = rows_of(covertree.top_k(df, df.where("vec_id = 0"), 10), "rank", "vec_id", "score")
+    assert got == [(1, 1, big), (2, 4, big), (3, 3, 2), (4, 2, -big - 1)]
+    far = covertree.whole_numbers(spark.createDataFrame([(0, [1e300, -1e300])], "vec_id long, embedding array<double>"))
+    assert far.first().v == [big, -big - 1]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.0001]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0])]
