@@ -347,10 +347,66 @@ def test_suffixes_rows_that_share_an_id(spark, monkeypatch, part):
     assert [w[2] for w in want[:6]] == [0, 0, 0, want[3][1], 0, want[5][1]] and want[7][2] == want[8][2] == 0
 
 
+def test_suffixes_in_lanes_and_windows(spark, monkeypatch):
+    """Packets cut anew in lanes, long texts in windows, hot anchors as single strings."""
+    real = suffixes.windows
+    monkeypatch.setattr(suffixes, "PART", 3000)
+    monkeypatch.setattr(suffixes, "BUCKET", 2000)
+    monkeypatch.setattr(suffixes, "FAN", 3)
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    header = prose(1, 40)
+    rows = [(i, f"{header} {prose(200 + i, 60)}") for i in range(40)] + [(100 + i, prose(200 + i, 60) + header) for i in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffixes.cut_repeats(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_cuts(rows)
+    assert real is suffixes.windows
+
+
+def test_windows_give_the_same_anchors():
+    text = (prose(1, 300) + "x" * 500 + "ab " * 150 + prose(1, 300) + prose(2, 100)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["", text.decode(), "short"])], names=["text"])
+
+    def found(limit):
+        suffix, covered = {}, set()
+        for data, off, rows, base, lead in suffixes.windows([batch], limit):
+            (row, first, count, place, name), (s_row, s, e), _ = suffixes.anchors(data, off, lead)
+            for k in range(len(row)):
+                for x in range(first[k], first[k] + count[k]):
+                    assert rows[row[k]] == 1
+                    suffix[x - off[row[k]] + base] = (place[k] - off[row[k]] + base, name[k])
+            for k in range(len(s)):
+                covered |= {*range(s[k] - off[s_row[k]] + base, e[k] - off[s_row[k]] + base)}
+        return suffix, covered
+
+    whole, covered = found(1 << 20)
+    assert len({p for p, _ in whole.values()}) < len(whole) / 10 and len(covered) > 800
+    for limit in (97, 300, 1000):
+        some, more = found(limit)
+        assert all(whole[k] == some[k] for k in whole) and more <= covered
+
+
+@pytest.mark.parametrize("unit", ["a", "ab ", "0123456789" * 4, "é"])
+def test_repetitive_texts(spark, unit):
+    rows = [(1, unit * (2600 // len(unit))), (2, prose(1, 40) + unit * 300), (3, unit * 60 + prose(2, 30) + unit * 90), (4, "b" + unit * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.cut_repeats(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_cuts(rows)
+
+
+def test_suffixes_with_clashing_names(spark):
+    rows = [(1, prose(1, 60), 5, "p", "g"), (2, prose(1, 60), 6, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part long, n_bytes string, row string")
+    got = suffixes.cut_repeats(df, ["doc_id", "part", "n_bytes", "row"])
+    assert got.columns == ["doc_id", "part", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert rows_of(got, "doc_id", "part", "row") == [(1, 5, "g"), (2, 6, "h")]
+    left = suffixes.without_repeats(df)
+    assert left.columns == df.columns and rows_of(left, *df.columns) == [rows[0], (2, "", 6, None, "h")]
+
+
 def test_refine():
     text = np.frombuffer(b"x" * 30 + prose(1, 60).encode()[:200] + b"--" + prose(1, 60).encode()[:200], np.uint8)
     places = np.arange(len(text) - 99)
-    got = suffixes.refine(text, places, np.zeros(len(places), np.int64), places)
+    got = suffixes.refine(text, places, places)
     seen, want = set(), []
     for p in places:
         want.append(bytes(text[p : p + 100]) in seen)
