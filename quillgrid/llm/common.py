@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a narrow table that one task may well hold.
+PLAIN = 1_000_000
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,12 +103,15 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def join_counted(left: DataFrame, right: DataFrame, keys: list[str], copies: str, total: int, share: int = 5_000) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], copies: str, total: int, share: int = 5_000, plain: int = PLAIN) -> DataFrame:
     """Inner join on ``keys``, unique in ``right``, whose column ``copies`` counts the
     rows of ``left`` with that key, of ``total``.  Keys of more than one row in ``share``
     (fewer than ``share`` of them) are broadcast, so no key's rows meet in one task.
+    A table of up to ``plain`` narrow rows is no more than a task anyway, and joined plainly.
 
-    ``left`` is read twice: it should be a staged table."""
+    A larger ``left`` is read twice: it should be a staged table."""
+    if total <= plain:
+        return left.join(right, keys)
     hot = F.broadcast(right.where(F.col(copies) * share > total))
     met = left.join(hot, keys)
     rest = left.join(F.broadcast(right.where(F.col(copies) * share > total).select(*keys)), keys, "left_anti")
@@ -247,12 +252,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
-        large = staged(join_counted(both, least, ["u"], "_n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
-        size = large.count()
+        large = join_counted(both, least, ["u"], "_n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        size = total
+        if total > PLAIN:
+            large = staged(large, name)
+            size = large.count()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         moved = join_counted(large, least, ["u"], "_n", size).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = staged(moved, name)
-        discard(pairs, large)
+        discard(pairs, *([large] if total > PLAIN else []))
         pairs = after
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         total = now[0]
@@ -269,15 +277,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def component_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each node's component, for n in-memory nodes and links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(before, label):
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int) -> DataFrame:
+    """(doc_id, text, y): at most ``sample`` labelled rows that are not held out, of
+    ``sample_bytes`` of text in all, in the order of a hash of id and text; rows of more
+    than a sixteenth of that are passed over.  Ids labelled twice count as 1 if any
+    label is."""
+    given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    met = docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id"))
+    met = met.select("doc_id", "text", "y", F.xxhash64("doc_id", "text").alias("_at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_n"))
+    met = met.where(F.col("_n") * 16 <= sample_bytes)
+    # narrow rows first: as many as the bounds allow
+    first = met.select("_at", "_n").orderBy("_at", "_n").limit(sample).collect()
+    total, most = 0, 0
+    for r in first:
+        total += r._n
+        if total > sample_bytes:
             break
-    return label
+        most += 1
+    last = first[most - 1]._at if most else 0
+    return met.where((F.col("_at") <= last) & F.lit(most > 0)).orderBy("_at", "_n").limit(most).select("doc_id", "text", "y")

@@ -135,13 +135,22 @@ def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> Non
 
 
 def _node_pairs(near: int):
+    """Candidate pairs of all nodes of a bucket; nodes of two rows all at once."""
+
     def run(key, table):
-        table = table.sort_by("rep")
-        ids = table.column("rep").to_numpy()
-        raw = b"".join(table.column("sig").to_pylist())
+        table = table.sort_by([("node", "ascending"), ("rep", "ascending")])
+        node, ids, size = (table.column(k).to_numpy() for k in ("node", "rep", "n"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+        cut = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
         out: list = []
-        _node(np.frombuffer(raw, np.uint16).reshape(-1, PLACES), table.column("n").to_numpy(), ids, key[0].as_py() & (2**64 - 1), near, out)
-        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]), pa.int64()) for k in range(4)], names=["src", "dst", "n", "group"])
+        two = cut[:-1][np.diff(cut) == 2]
+        alike = ((sig[two] == sig[two + 1]).sum(1) >= agreement(near, 4.5)) & (np.minimum(size[two], size[two + 1]) * 100 >= near * np.maximum(size[two], size[two + 1]))
+        two = two[alike]
+        out.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1]), size[two], node[two]))
+        for k in np.flatnonzero(np.diff(cut) > 2):
+            a, b = cut[k], cut[k + 1]
+            _node(sig[a:b], size[a:b], ids[a:b], int(node[a]) & (2**64 - 1), near, out)
+        return pa.table([pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in range(4)], names=["src", "dst", "n", "group"])
 
     return run
 
@@ -155,25 +164,28 @@ def node_tables(classes: DataFrame, trees: int = TREES, node_rows: int = NODE_RO
     """(node, rep) of nodes of 2 to ``node_rows`` classes, and (node, rep, blocks) of
     those still larger after ``levels``.  classes: rep, n, sig."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(t), _token(F.lit((11 + 7 * t) % PLACES))) for t in range(trees))))
-    nodes = c.staged(classes.select(roots.alias("node"), "rep"), "nodes")
+    nodes, total = classes.select(roots.alias("node"), "rep"), trees * classes.count()
     small, deep = None, None
     for level in range(levels + 1):
+        if total > c.PLAIN:
+            nodes = c.staged(nodes, "nodes")
         sizes = c.staged(nodes.groupBy("node").agg(F.count("*").alias("here")).where("here > 1"), "sizes")
-        total = nodes.count()
-        placed = c.staged(c.join_counted(nodes, sizes, ["node"], "here", total), "placed")
+        placed = c.join_counted(nodes, sizes, ["node"], "here", total)
         here = placed.where(F.col("here") <= node_rows).select("node", "rep")
         small = here if small is None else small.union(here)
         stay = placed.where(F.col("here") > node_rows)
-        if sizes.where(F.col("here") > node_rows).isEmpty():
+        total = sizes.where(F.col("here") > node_rows).agg(F.sum("here")).first()[0]
+        if not total:
             break
         if level == levels:
-            deep = stay.select("node", "rep", F.ceil(F.col("here") / node_rows).cast("long").alias("blocks"))
+            deep = c.staged(stay.select("node", "rep", F.ceil(F.col("here") / node_rows).cast("long").alias("blocks")), "deep")
             break
         # one branch, and a second from every fourth node
         spread = F.explode(F.filter(F.array(*(F.struct(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(PLACES)).cast("int").alias("place"), F.lit(b).alias("b"), ((F.lit(b) == 0) | (F.pmod(F.xxhash64("node", F.lit("second")), F.lit(4)) == 0)).alias("on")) for b in (0, 1))), lambda x: x.on))
         onward = stay.join(classes, "rep").select("node", "rep", "sig", spread.alias("s"))
-        nodes = c.staged(onward.select(F.xxhash64("node", "s.b", _token(F.col("s.place"))).alias("node"), "rep"), "nodes")
-    return small, deep
+        nodes = c.staged(onward.select(F.xxhash64("node", "s.b", _token(F.col("s.place"))).alias("node"), "rep"), "branches")
+        total = 2 * total
+    return c.staged(small, "nodes"), deep
 
 
 def _sub_nodes(deep: DataFrame) -> DataFrame:
@@ -202,10 +214,12 @@ def _outsiders(deep: DataFrame, label: DataFrame) -> DataFrame | None:
     return own.union(visit).distinct()
 
 
-def candidates(nodes: DataFrame, classes: DataFrame, near: int = NEAR) -> DataFrame:
+def candidates(nodes: DataFrame, classes: DataFrame, near: int = NEAR, bucket_rows: int = 50_000) -> DataFrame:
     """(src, dst, n, group): candidate pairs, src > dst, that connect each node's candidate
     groups, and the size of one of them."""
-    return nodes.join(classes, "rep").groupBy("node").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst")
+    buckets = max(1, -(-nodes.count() // bucket_rows))
+    dealt = nodes.join(classes, "rep").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst")
 
 
 def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
@@ -278,21 +292,29 @@ def confirmed(texts: DataFrame, members: DataFrame, width: int = WIDTH, near: in
 
     members: rep, n, group; a group is part of one node, so the pairs of blocks that one
     of more than ``group_shingles`` takes do not grow with the table."""
-    load = members.groupBy("group").agg(F.sum("n").alias("load"), F.count("*").alias("_n"))
-    load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"), "_n")
+    load = members.groupBy("group").agg(F.sum("n").alias("load"))
+    load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"), "load")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
     placed = members.join(load, "group").select("rep", "group", pairs.alias("pair"))
-    dealt = texts.join(placed, "rep").select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "text")
+    # small groups share a task
+    whole = load.agg(F.sum(F.col("load") * F.col("blocks"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("group", "i", "j"), F.lit(max(1, -(-whole // group_shingles))))
+    dealt = texts.join(placed, "rep").select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "text").withColumn("bucket", bucket)
 
     def run(key, table):
-        table = table.sort_by("rep")
-        ids, low = table.column("rep").to_numpy(), table.column("rep").to_numpy()
-        if len(ids):
-            low = ids[exact_groups(_sets_of(table, width), near)]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(low, pa.int64())], names=["src", "dst"])
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if table.num_rows:
+            table = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+            ids, found = table.column("rep").to_numpy(), _sets_of(table, width)
+            of = np.stack([table.column(k).to_numpy() for k in ("group", "i", "j")])
+            cut = np.append(np.flatnonzero(np.append(True, (of[:, 1:] != of[:, :-1]).any(0))), len(ids))
+            for a, b in zip(cut, cut[1:], strict=False):
+                src.append(ids[a:b])
+                dst.append(ids[a:b][exact_groups(found[a:b], near)])
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], names=["src", "dst"])
 
-    return dealt.groupBy("group", "i", "j").applyInArrow(run, "src long, dst long").where("src <> dst").distinct()
+    return dealt.groupBy("bucket").applyInArrow(run, "src long, dst long").where("src <> dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_rows: int = NODE_ROWS, levels: int = LEVELS, trees: int = TREES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -340,10 +362,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (staged) whose ends are of two components."""
+    pairs_n = pairs.count()
     for k in ("src", "dst"):
         ends = pairs.groupBy(k).agg(F.count("*").alias("_n")).join(label, F.col(k) == F.col("node"), "left").select(k, F.coalesce("component", k).alias(f"{k}_in"), "_n")
-        pairs = c.join_counted(pairs, ends, [k], "_n", max(1, pairs.count())).drop("_n")
-        if k == "src":
+        pairs = c.join_counted(pairs, ends, [k], "_n", pairs_n).drop("_n")
+        if k == "src" and pairs_n > c.PLAIN:
             pairs = c.staged(pairs, "ends")
     return pairs.where("src_in <> dst_in")
 

@@ -6,15 +6,24 @@ lines), transitions link consecutive lines.  The document's quality is the mean
 forward-backward marginal of "good", weighted by line length, and a two-
 parameter logistic curve fitted with the model turns it into a probability.
 
-Learning reads at most ``sample`` labelled rows (least hash of the id) and gives
-each of their lines the document's label, in chains of at most 64 lines;
+Learning maximises the conditional likelihood of the lines' labels, a document's lines
+weighing 1 together, with a small L2 penalty.  Labels are those of documents: each line
+gets its document's, so a bad line beside a good one is never seen in learning, and
+transitions learn to stay.  It reads at most ``sample`` labelled rows of at most
+``sample_bytes`` of text (least hash of id and text), in chains of at most 64 lines;
 scoring reads every row and runs whole chains.  The weights (about 150 numbers)
 are all that executors receive.
 
+Long texts are scored in windows of about a megabyte: what is kept of a window is an
+emission, a length and a hash for each line, and messages are carried from window
+to window by products of transfer matrices.
+
 Defined cases: null or empty text, or only line breaks, scores as the share of
 label 1 among the rows learnt from; null labels or ids are not learnt from;
 without rows of both labels every score is that (smoothed) share; repeated rows
-score alike; a document of one line is a chain of one.
+score alike; a document of one line is a chain of one; a line beyond 64 KB is scored as
+lines of that size; an empty table gives no row; other columns take no part, and one
+named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-_CHAIN = 64
+_CHAIN, _LONGEST, _PIECE = 64, 1 << 16, 256
 _CLASS = np.zeros(256, np.uint8)  # 0: other symbols
 for _k, _set in enumerate((range(65, 91), [*range(97, 123), *range(128, 256)], range(48, 58), (32, 9, 11, 12, 13), b".,;:?'-\"", b"!", b"|", b"*&$%#@~^"), 1):
     _CLASS[list(_set)] = _k
@@ -46,19 +55,28 @@ class Model:
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every non-empty line, and lines before each row."""
+    """Start and end of every non-empty line, and lines before each row; lines of more
+    than ``_LONGEST`` bytes are several."""
     gap = np.zeros(256, bool)
     gap[10] = True
-    return c.words(data, offsets, gap)
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A feature row for every line, lines before each document, line lengths."""
+    start, end, upto = c.words(data, offsets, gap)
+    parts = -(-(end - start) // _LONGEST)
+    if (parts > 1).any():
+        upto = np.append(0, np.cumsum(parts))[upto]
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + nth * _LONGEST
+        end = np.minimum(np.repeat(end, parts), start + _LONGEST)
+    return start, end, upto
+
+
+def features(data: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A feature row for every line, lines before each document, line lengths and hashes.
+    ``seen``: sorted hashes of the lines before, where there is one document."""
     start, end, upto = lines(data, offsets)
     n = len(start)
     size = (end - start).astype(np.float64)
     if not n:
-        return np.zeros((0, 20)), upto, size
+        return np.zeros((0, 20)), upto, size, np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(upto))
     kind = _CLASS[data]
     capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)) + 1
@@ -69,7 +87,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     share = np.bincount(line_of * _N_CLASS + kind[inside], minlength=n * _N_CLASS).reshape(n, _N_CLASS) / size[:, None]
     prefix = c.prefix_hash(c.BYTE_CODE[data])
     w_start, w_end, _ = c.words(data, offsets)
-    w_line = np.searchsorted(start, w_start, side="right") - 1
+    w_line = np.maximum(np.searchsorted(start, w_start, side="right") - 1, 0)
     word = c.span_hash(prefix, w_start, w_end)
     count = np.bincount(w_line, minlength=n).astype(float)
     one = np.maximum(count, 1)
@@ -85,8 +103,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     by_doc = np.lexsort((np.arange(n), text, doc))
     again = np.zeros(n)
     again[by_doc[1:]] = (text[by_doc][1:] == text[by_doc][:-1]) & (doc[by_doc][1:] == doc[by_doc][:-1])
+    if seen is not None and len(seen):
+        again[seen[np.minimum(np.searchsorted(seen, text), len(seen) - 1)] == text] = 1
     out = np.column_stack([share, repeated / one, stutter / one, brief / one, capitals / one, size / one / 8, np.log1p(size) / 5, np.log1p(count) / 4, again, count <= 2, data[end - 1] == 46, (share[:, 0] + share[:, 6] + share[:, 7] + share[:, 8]) > 0.05])
-    return out, upto, size
+    return out, upto, size, text
 
 
 def windowed(own: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -104,34 +124,82 @@ def windowed(own: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _steps(first: np.ndarray, length: np.ndarray):
+    """For each place in the chains, the lines there, longest chains first."""
+    order = np.argsort(-length, kind="stable")
+    at, size = first[order], length[order]
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+    return order, [at[:n] + t for t, n in enumerate(live.tolist())]
+
+
+def _potentials(emit: np.ndarray) -> np.ndarray:
+    psi = np.stack([np.zeros(len(emit)), np.clip(emit, -30, 30)], 1)
+    return np.exp(psi - psi.max(1, keepdims=True))
+
+
+def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray, weight: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of "good" per line, and summed pair marginals, of many chains at
     once.  emit: log odds of good; chains start at ``first`` and have ``length``
-    lines each; all chains step together, longest first."""
+    lines each; all chains step together, longest first.  ``weight`` of each chain's
+    pairs; messages ``before`` its first line and ``after`` its last, where it is part of
+    a longer one."""
     n = len(emit)
-    psi = np.stack([np.zeros(n), np.clip(emit, -30, 30)], 1)
-    psi = np.exp(psi - psi.max(1, keepdims=True))
-    move = np.exp(moves)
-    order = np.argsort(-length, kind="stable")
-    at, size = first[order], length[order]
+    psi, move = _potentials(emit), np.exp(moves)
+    order, steps = _steps(first, length)
     alpha, beta, pairs = np.zeros((n, 2)), np.ones((n, 2)), np.zeros((2, 2))
-    longest = int(size[0]) if len(size) else 0
-    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # chains longer than t
-    for t in range(longest):
-        i = at[: live[t]] + t
-        a = psi[i] if t == 0 else (alpha[i - 1] @ move) * psi[i]
+    if after is not None:
+        beta[first + length - 1] = after
+    weigh = np.ones(len(order)) if weight is None else weight[order]
+    for t, i in enumerate(steps):
+        a = (psi[i] if before is None else psi[i] * before[order]) if t == 0 else (alpha[i - 1] @ move) * psi[i]
         alpha[i] = a / a.sum(1, keepdims=True)
-    for t in range(longest - 2, -1, -1):
-        i = at[: live[t + 1]] + t
-        onward = psi[i + 1] * beta[i + 1]
+    for onward_at in reversed(steps[1:]):
+        i = onward_at - 1
+        onward = psi[onward_at] * beta[onward_at]
         b = onward @ move.T
         beta[i] = b / b.sum(1, keepdims=True)
         joint = alpha[i][:, :, None] * move[None] * onward[:, None, :]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        pairs += (joint / joint.sum((1, 2), keepdims=True) * weigh[: len(i), None, None]).sum(0)
     both = alpha * beta
     return both[:, 1] / both.sum(1), pairs
 
 
+def long_chain(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Marginals of one long chain: its pieces step together, twice: once for their
+    transfer matrices, which carry messages over them, once for the marginals."""
+    n = len(emit)
+    first = np.arange(0, n, _PIECE)
+    length = np.minimum(_PIECE, n - first)
+    move = np.exp(moves)
+    transfer = np.tile(np.eye(2), (len(first), 1, 1))  # from the state before a piece to its last line
+    order, steps = _steps(first, length)
+    for i in steps:
+        here = order[: len(i)]
+        m = (transfer[here] @ move) * _potentials(emit[i])[:, None, :]
+        transfer[here] = m / m.sum((1, 2), keepdims=True)
+    before, after = np.ones((len(first), 2)), np.ones((len(first), 2))
+    # into the first piece there is no transition
+    m = np.array([1.0, 1.0])
+    for t, p in enumerate(_potentials(emit[: length[0]])):
+        m = (m @ move if t else m) * p
+        m /= m.sum()
+    for k in range(1, len(first)):
+        before[k] = m @ move
+        m = m @ transfer[k]
+        m /= m.sum()
+    m = np.ones(2)
+    for k in range(len(first) - 1, 0, -1):
+        m = transfer[k] @ m
+        m /= m.sum()
+        after[k - 1] = m
+    out = np.empty(n)
+    for a in range(0, len(first), 256):  # in bounded runs of pieces
+        some = slice(a, min(len(first), a + 256))
+        lo, hi = first[some][0], first[some][-1] + length[some][-1]
+        out[lo:hi] = forward_backward(emit[lo:hi], first[some] - lo, length[some], moves, None, before[some], after[some])[0]
+    return out
+
+
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -145,7 +213,7 @@ def _quality(good: np.ndarray, size: np.ndarray, upto: np.ndarray) -> np.ndarray
 
 
 def train(texts: list[str], label: np.ndarray, steps: int = 150, rate: float = 0.08, l2: float = 1e-3) -> Model:
-    """Maximum conditional likelihood by Adam on the whole sample."""
+    """Maximum conditional likelihood, a document's lines weighing 1 together, by Adam."""
     share = float((label.sum() + 0.5) / (len(label) + 1))
     parts = [features(*c.column_bytes(batch.column(0))) for batch in c.pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])], limit=1 << 19)]
     own, size = np.concatenate([np.zeros((0, 20)), *(p[0] for p in parts)]), np.concatenate([np.zeros(0), *(p[2] for p in parts)])
@@ -159,16 +227,16 @@ def train(texts: list[str], label: np.ndarray, steps: int = 150, rate: float = 0
     y = np.repeat(label, np.diff(upto)).astype(float)
     first = np.concatenate([np.arange(a, b, _CHAIN) for a, b in zip(upto, upto[1:], strict=False)]).astype(np.int64)
     length = np.diff(np.append(first, len(x)))
-    # every document weighs as much as any other
-    weigh = 1 / np.repeat(np.diff(upto), np.diff(upto))
+    # every document weighs as much as any other, in emissions and transitions alike
+    weigh = 1 / np.repeat(np.diff(upto), np.diff(upto)) / len(label)
     w, moves = model.weights.copy(), model.moves.copy()
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     inner = np.ones(len(x), bool)
     inner[first] = False
-    held = np.array([[((y[1:] == a) & (y[:-1] == b) & inner[1:]).sum() for b in (0, 1)] for a in (0, 1)]).T
+    held = np.array([[(weigh[1:] * ((y[1:] == a) & (y[:-1] == b) & inner[1:])).sum() for b in (0, 1)] for a in (0, 1)]).T
     for k in range(1, steps + 1):
-        good, pairs = forward_backward(x @ w, first, length, moves)
-        g = np.append(x.T @ ((good - y) * weigh) / len(label) + l2 * w, ((pairs - held) / len(x) + l2 * moves).ravel())
+        good, pairs = forward_backward(x @ w, first, length, moves, weigh[first])
+        g = np.append(x.T @ ((good - y) * weigh) + l2 * w, (pairs - held + l2 * moves).ravel())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         step = rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
         w, moves = w - step[:-4], moves - step[-4:].reshape(2, 2)
@@ -188,25 +256,64 @@ def train(texts: list[str], label: np.ndarray, steps: int = 150, rate: float = 0
 
 
 def predict(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    own, upto, size = features(data, offsets)
+    """Scores of whole texts; one of more than two megabytes goes by windows."""
     if not model.curve[1]:
         return np.full(len(offsets) - 1, model.share)
-    good, _ = forward_backward(windowed((own - model.mean) / model.scale, upto) @ model.weights, upto[:-1], np.diff(upto), model.moves)
-    q = _quality(good, size, upto)
-    return np.where(np.isnan(q), model.share, 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * _logit(np.nan_to_num(q, nan=0.5))))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4_000) -> Model:
-    """Learn from at most ``sample`` labelled rows that are not held out."""
-    given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~c.held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    given = given.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id").orderBy("doc_id", "text").collect()
+    out = np.empty(len(offsets) - 1)
+    large = np.diff(offsets) > 2 * _WINDOW
+    for k in np.flatnonzero(large):
+        out[k] = _long_quality(model, data[offsets[k] : offsets[k + 1]])
+    rows = np.flatnonzero(~large)
+    if len(rows):
+        if large.any():
+            size = np.diff(offsets)[rows]
+            data, offsets = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in rows]), np.append(0, np.cumsum(size))
+        own, upto, size, _ = features(data, offsets)
+        good, _ = forward_backward(windowed((own - model.mean) / model.scale, upto) @ model.weights, upto[:-1], np.diff(upto), model.moves) if len(own) else (np.zeros(0), None)
+        out[rows] = _quality(good, size, upto)
+    return np.where(np.isnan(out), model.share, 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * _logit(np.nan_to_num(out, nan=0.5))))))
+
+
+_WINDOW = 1 << 20
+
+
+def _long_quality(model: Model, data: np.ndarray) -> float:
+    """Quality of one long text: emissions window by window, then the whole chain."""
+    parts = np.split(model.weights[:-1], 3)
+    seen, sizes, shares = np.zeros(0, np.uint64), [], []
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + _WINDOW)
+        if to < len(data):  # whole lines, or whole parts of a long one
+            feed = np.flatnonzero(data[at:to] == 10)
+            to = at + int(feed[-1]) + 1 if len(feed) else to
+        own, _, size, text = features(data[at:to], np.array([0, to - at]), seen)
+        at = to
+        if len(size):
+            seen = np.union1d(seen, text)
+            x = (own - model.mean) / model.scale
+            shares.append(np.stack([x @ w for w in parts], 1))
+            sizes.append(size)
+    if not sizes:
+        return float("nan")
+    own, size = np.concatenate(shares), np.concatenate(sizes)
+    emit = own[:, 0] + model.weights[-1]
+    emit[1:] += own[:-1, 1]
+    emit[:-1] += own[1:, 2]
+    return float((long_chain(emit, model.moves) * size).sum() / size.sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4_000, sample_bytes: int = 32 << 20) -> Model:
+    """Learn from at most ``sample`` labelled rows that are not held out, of at most
+    ``sample_bytes`` of text."""
+    rows = c.learning_rows(docs, labels, label, sample, sample_bytes).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([r.text or "" for r in rows], np.array([r.y for r in rows], int))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """``keep`` columns (default: all) of every row and its score in [0, 1]."""
-    keep = keep or [k for k in docs.columns if k != out]
+    keep = [k for k in keep or docs.columns if k.lower() != out.lower()]
     schema = docs.select(*keep).schema.add(out, "double")
 
     def run(batches):

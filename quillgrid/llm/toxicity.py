@@ -6,12 +6,15 @@ out), each once, hashed into ``2**bits`` slots.  Training is per-coordinate
 FTRL-proximal (McMahan et al. 2013): L1 leaves a few thousand weights, which are
 all that is sent to executors (bounded by the slots, not by the data).
 
-Learning reads a bounded sample: at most ``sample`` labelled rows, those with
-the least hash of their id.  Scoring reads every row, whole texts.
+Learning reads a bounded sample: at most ``sample`` labelled rows (repeated ones
+count) of at most ``sample_bytes`` of text, those with the least hash of id and text.
+Scoring reads every row, whole texts.
 
 Defined cases: null or empty text scores by the bias alone; rows with null
 labels or ids are not learnt from; with no labelled row, or labels of one kind,
-every score is the smoothed share of label 1; repeated rows score alike.
+every score is the smoothed share of label 1; repeated rows score alike; a very long
+text is scored in one piece, about 60 bytes of memory a byte; an empty table gives no
+row; other columns take no part, and one named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -111,19 +114,20 @@ def train(rows: list[tuple[int, bytes]], bits: int = 20, alpha: float = 0.5, bet
     return Model(slots.astype(np.int32), w.astype(np.float32), float(at), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000, bits: int = 20) -> Model:
-    """Learn from at most ``sample`` labelled rows that are not held out."""
-    given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~c.held_out()).select("doc_id", F.col(label).cast("int").alias("y"))
-    given = given.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000, sample_bytes: int = 64 << 20, bits: int = 20) -> Model:
+    """Learn from at most ``sample`` labelled rows that are not held out, of at most
+    ``sample_bytes`` of text."""
     # written first, then read a part at a time: the driver's JVM never holds the sample
-    rows = c.staged(featurised(docs.select("doc_id", "text").join(F.broadcast(given), "doc_id"), bits, ["doc_id", "y"]), "toxicity-sample")
+    some = c.learning_rows(docs, labels, label, sample, sample_bytes)
+    rows = c.staged(featurised(some, bits, ["doc_id", "y"]), "toxicity-sample")
     held = sorted((r.doc_id, r.y, bytes(r.terms)) for r in rows.coalesce(8).toLocalIterator())
+    c.discard(rows)
     return train([(y, terms) for _, y, terms in held], bits)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """``keep`` columns (default: all) of every row and its score in [0, 1]."""
-    keep = keep or [k for k in docs.columns if k != out]
+    keep = [k for k in keep or docs.columns if k.lower() != out.lower()]
     schema = docs.select(*keep).schema.add(out, "double")
 
     def run(batches):

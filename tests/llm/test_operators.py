@@ -237,6 +237,70 @@ def test_crf_marginals():
     assert np.allclose(good, want) and np.allclose(pairs, both)
 
 
+def test_long_chains_are_chains(monkeypatch):
+    """Pieces with carried messages give the marginals of one chain."""
+    monkeypatch.setattr(quality, "_PIECE", 5)
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 5, 6, 23, 2000):
+        emit, moves = rng.normal(size=n) * 3, rng.normal(size=(2, 2))
+        want, _ = quality.forward_backward(emit, np.array([0]), np.array([n]), moves)
+        assert np.allclose(quality.long_chain(emit, moves), want)
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    """Weighted pair and line marginals against differences of the log likelihood."""
+    rng = np.random.default_rng(2)
+    first, length, weight = np.array([0, 3]), np.array([3, 2]), np.array([0.7, 0.2])
+    emit, moves, y = rng.normal(size=5), rng.normal(size=(2, 2)), np.array([1, 0, 0, 1, 1])
+
+    def value(e, m):
+        total = 0.0
+        for a, n, w in zip(first, length, weight, strict=True):
+            score = lambda z: sum(e[a + t] * z[t] for t in range(n)) + sum(m[z[t], z[t + 1]] for t in range(n - 1))
+            total += w * (score(y[a : a + n]) - math.log(sum(math.exp(score(z)) for z in itertools.product((0, 1), repeat=int(n)))))
+        return total
+
+    good, pairs = quality.forward_backward(emit, first, length, moves, weight)
+    held = np.zeros((2, 2))
+    for a, n, w in zip(first, length, weight, strict=True):
+        for t in range(n - 1):
+            held[y[a + t], y[a + t + 1]] += w
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert (value(emit + step, moves) - value(emit - step, moves)) / 2e-6 == pytest.approx((y[k] - good[k]) * np.repeat(weight, length)[k], abs=1e-6)
+    for a, b in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-6
+        assert (value(emit, moves + step) - value(emit, moves - step)) / 2e-6 == pytest.approx(held[a, b] - pairs[a, b], abs=1e-6)
+
+
+def test_long_texts_score_as_whole_ones(spark, monkeypatch):
+    docs, labels = labelled(spark, "quality")
+    model = quality.fit(docs, labels)
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 9)))
+    some = [line() for _ in range(40)]
+    texts = ["\n".join(rng.choice(some) if rng.random() < 0.5 else line() for _ in range(300)), "\n\n\n", "x" * 400, "\n".join("a" * 90 for _ in range(9))]
+    args = common.column_bytes(pa.array(texts, pa.large_string()))
+    monkeypatch.setattr(quality, "_LONGEST", 80)
+    want = quality.predict(model, *args)
+    monkeypatch.setattr(quality, "_WINDOW", 160)
+    assert np.allclose(quality.predict(model, *args), want)
+
+
+@pytest.mark.parametrize(("module", "kind"), [(toxicity, "toxic"), (quality, "quality")])
+def test_samples_bound_rows_and_bytes(spark, module, kind):
+    """Repeated rows count each, and long ones by their bytes."""
+    docs = spark.createDataFrame([(1, "same words")] * 500 + [(2, "w " * 600), (3, None)] + [(k, prose(k, 20)) for k in range(10, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 1)], f"doc_id long, {kind} int")
+    some = common.learning_rows(docs, labels, kind, 10, 1 << 20).collect()
+    assert len(some) == 10
+    some = common.learning_rows(docs, labels, kind, 10_000, 4_000).collect()
+    assert 0 < sum(len(r.text or "") for r in some) <= 4_000 and all(len(r.text or "") <= 250 for r in some)
+    assert rows_of(common.learning_rows(docs, labels, kind, 20, 4_000), "doc_id", "y") == rows_of(common.learning_rows(docs.repartition(7), labels, kind, 20, 4_000), "doc_id", "y")
+    assert module.score(docs.withColumn("score", F.lit("clash")).withColumn("y", F.lit(1)), module.fit(docs, labels, sample=50)).columns == ["doc_id", "text", "y", "score"]
+
+
 def labelled(spark, kind):
     rng, rows, labels = random.Random(4), [], []
     for i in range(400):
