@@ -9,14 +9,16 @@ documents end to end in a seeded order and cuts them into blocks; a quota of
 ``q`` over ``n`` blocks takes every block ``q div n`` times, and ``q mod n`` of
 them, chosen by a seeded stride, once more.
 
-All of it is DataFrame expressions.  A shard holds about ``shard_words`` words
-(at most ``most_shards`` shards a source), so a source with a third of all rows
-is many tasks; only one row per source or shard is ever ranked in one place.
+All of it is DataFrame expressions.  A shard holds about ``shard_words`` words at any
+size, so a source with a third of all rows is many tasks; only one narrow row per source
+or shard is ever ranked in one place, and apportionment is linear in these rows.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; equal rows are told apart only by
-their order and each counts; an empty table gives an empty result; other
-columns pass through :func:`mix` unless their names are those it adds.
+their order and each counts; a very long text lies over many blocks, of which each is
+taken or not; an empty table gives an empty result; other columns pass through
+:func:`mix` unless they are named like one it adds, and all pass through
+:func:`mixed_texts`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BLOCK, SHARD_WORDS, MOST_SHARDS, CAP, SEED = 128, 1 << 18, 1024, 3, "mix-1"
+BLOCK, SHARD_WORDS, CAP, SEED = 128, 1 << 18, 3, "mix-1"
 
 
 def word_count(text: Column) -> Column:
@@ -38,7 +40,10 @@ def word_count(text: Column) -> Column:
 def apportion(votes: DataFrame, seats: str, weight: str, order: list[Column], within: list[str] | None = None) -> DataFrame:
     """Adds ``quota``: Sainte-Lague seats of each row, of ``seats`` (a column equal
     within each group) by ``weight``.  Rounding weight/divisor is right but for
-    at most half a seat a row; the highest (or lowest) quotients settle the rest.
+    at most half a seat a row; the highest (or lowest) quotients settle the rest.  Of
+    these a row has at most its share of half the rows, and two more: the right divisor
+    moves the seats of n rows by n / 2 at most, and a row's by its share of that and
+    the rounding at either end.  So all rows together try 2.5 n quotients.
     """
     within = within or []
     group = Window.partitionBy(*within)
@@ -46,7 +51,9 @@ def apportion(votes: DataFrame, seats: str, weight: str, order: list[Column], wi
     ranked = votes.withColumn("_base", F.floor(share + 0.5).cast("long"))
     ranked = ranked.withColumn("_lack", F.col(seats) - F.sum("_base").over(group)).withColumn("_row", F.row_number().over(group.orderBy(*order)))
     # the next |lack| seats each row could win, or the last |lack| it could lose
-    step = F.explode(F.sequence(F.lit(1), F.abs("_lack").cast("int"))).alias("_k")
+    most = F.ceil(F.when(F.sum(weight).over(group) > 0, F.col(weight) / F.sum(weight).over(group)).otherwise(0.0) * F.count("*").over(group) / 2) + 2
+    ranked = ranked.withColumn("_most", F.least(F.abs("_lack"), most.cast("long")))
+    step = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))).alias("_k")
     key = [*within, "_row"]
     tries = ranked.where("_lack <> 0").select(*key, "_lack", "_base", weight, step)
     gain = F.col(weight) / (2 * (F.col("_base") + F.col("_k")) - 1)
@@ -73,17 +80,27 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     return out.withColumn("target", target).drop("_rest", "_left", "_full")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, most_shards: int = MOST_SHARDS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Every row with ``size``, ``source_size``, ``target``, ``taken``, and ``_begin``,
-    ``_n``, ``_each``, ``_extra``, ``_stride``, ``_shift``: where the row lies in its
-    shard and which blocks the shard takes (see :func:`times_taken`)."""
+_PLAN = ("_begin", "_n", "_each", "_extra", "_stride", "_shift")
+_ADDED = ("size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """Every row, but its text, with ``size``, ``source_size``, ``target`` and ``taken``."""
+    other = [k for k in docs.columns if k.lower() not in ("text", *_ADDED)]
+    return plan(docs, other, block, shard_words, cap, seed).select(*(F.col(f"_row.`{k}`").alias(k) for k in other), *_ADDED)
+
+
+def plan(docs: DataFrame, keep: list[str], block: int = BLOCK, shard_words: int = SHARD_WORDS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, the columns to keep as ``_row``, size, source_size, target, taken, and where
+    the row lies in its shard and which blocks the shard takes: ``_begin``, ``_n``,
+    ``_each``, ``_extra``, ``_stride``, ``_shift``."""
     spread = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 15)
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_order", F.conv(spread, 16, 10).cast("long"))
-    sized = c.staged(sized.drop("text"), "sizes")
+    row = F.struct(*(F.col(f"`{k}`") for k in keep)) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    sized = c.staged(docs.select("doc_id", "source", row.alias("_row"), word_count(F.col("text")).alias("size"), F.conv(spread, 16, 10).cast("long").alias("_order")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = sources.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")).withColumn("weight", (F.col("_rank") - 1) % 3 + 1)
     quotas = targets(sources, cap).withColumn("_seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / block))
-    quotas = apportion(quotas, "_seats", "target", [F.col("_rank")]).withColumnRenamed("quota", "_seats_here").withColumn("_shards", F.least(F.lit(most_shards), F.ceil(F.col("source_size") / shard_words)).cast("long"))
+    quotas = apportion(quotas, "_seats", "target", [F.col("_rank")]).withColumnRenamed("quota", "_seats_here").withColumn("_shards", F.ceil(F.col("source_size") / shard_words).cast("long"))
     quotas = c.staged(quotas.select("source", "_rank", "source_size", "target", "_seats_here", "_shards"), "sources")
     # one row per source; broadcast only where that is few
     quotas = quotas.withColumnRenamed("source", "_of")
@@ -118,7 +135,7 @@ def _coprime(a: Column, b: Column) -> Column:
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(docs, []).select("doc_id", *_ADDED)
 
 
 def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
@@ -127,17 +144,17 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     ``n_chars``, where there, is that of the new text.  Rows that share a doc_id and
     a size are taken as the first of them is."""
     columns = docs.columns
-    plan = mix(docs.select("doc_id", "text", "source"), block, **options).where("taken > 0")
-    fields = ("_begin", "_n", "_each", "_extra", "_stride", "_shift")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min(F.struct(*fields)).alias("_x")).select("_id", "_size", "_x.*")
-    joined = docs.withColumn("_words", word_count(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).select(*columns, *fields)
-    kinds = docs.schema
+    of = plan(docs.select("doc_id", "text", "source"), [], block, **options).where("taken > 0")
+    of = of.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min(F.struct(*_PLAN)).alias("_x"))
+    # the rows' own columns travel as one, whatever they are called
+    given = docs.select(F.col("doc_id").alias("_doc"), word_count(F.col("text")).alias("_words"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{k}`") for k in columns if k != "text")).alias("_row"))
+    joined = given.join(of, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).select(F.col("_text").alias("text"), "_row", *(f"_x.{k}" for k in _PLAN))
 
     def run(batches):
         for batch in c.pieces(batches):
             data, off = c.column_bytes(batch.column("text"))
             start, end, upto = c.words(data, off)
-            begin, n, each, extra, stride, shift = (batch.column(batch.num_columns - 6 + k).to_numpy().astype(np.int64) for k in range(6))
+            begin, n, each, extra, stride, shift = (batch.column(2 + k).to_numpy().astype(np.int64) for k in range(6))
             row = np.repeat(np.arange(batch.num_rows), np.diff(upto))
             place = (begin[row] + np.arange(len(start)) - upto[row]) // block
             more = (place * stride[row] + shift[row]) % np.maximum(n[row], 1) < extra[row]
@@ -153,8 +170,8 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
                     runs = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
                     texts.append(whole if len(on) == b - a else "\n".join(raw[start[a + r[0]] : end[a + r[-1]]].decode() for r in runs))
                     take.append(i)
-            out = batch.select(columns).take(pa.array(take, pa.int64()))
-            cols = [pa.array(texts, pa.string()) if k == "text" else pa.array([len(t) for t in texts], out.column(k).type) if k == "n_chars" else out.column(k) for k in columns]
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("_row").take(pa.array(take, pa.int64()))], names=["text", "_row"])
 
-    return joined.mapInArrow(run, kinds)
+    made = joined.mapInArrow(run, joined.select("text", "_row").schema)
+    kind = docs.schema
+    return made.select(*(F.col("text").alias(k) if k == "text" else F.length("text").cast(kind[k].dataType).alias(k) if k == "n_chars" else F.col(f"_row.`{k}`").alias(k) for k in columns))

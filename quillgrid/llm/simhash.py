@@ -14,7 +14,10 @@ the square of the fingerprints.
 
 Defined cases: null and empty texts have the fingerprint of no term (all zero
 bits, as no bit has a positive vote); texts without words too; equal texts are one
-fingerprint with a class of members; extra columns do not take part.
+fingerprint with a class of members; a null id comes after all others, rows that share
+an id follow each other in text order; a very long text is held whole, with about 100
+bytes of working memory a byte; an empty table gives no row; extra columns do not take
+part.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -170,71 +172,92 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, column: str = "fingerpr
     return _in_blocks(prints, column, radius, found, "p string, n long").groupBy(F.col("p").alias("fingerprint")).agg(F.sum("n").alias("near_count"))
 
 
-def _edits(docs: list[tuple[int | None, str]]) -> list[tuple[str, str]]:
-    """Text and edited text of each but the last, which only lends its start."""
-    out = []
-    for (_, text), (_, after) in zip(docs, docs[1:], strict=False):
-        m = len(text) // 3
-        out.append((text, text[: len(text) - m] + after[:m]))
-    return out
+_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDGE = f"{_FOUND}, part int, first boolean, text string"
+
+
+def _judged(ids: list, texts: list[str]) -> list[pa.Array]:
+    """The columns of all rows but the last, which only lends its start."""
+    edits = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for t, after in zip(texts, texts[1:], strict=False)]
+    own, new = _prints(texts), _prints(edits)
+    k = len(edits)
+    return [
+        pa.array(ids[:k], pa.int64()),
+        pa.array([len(t) for t in texts[:k]], pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
+        _hex(own[:k]),
+        _hex(new),
+        pa.array(likeness(own[:k], new), pa.float64()),
+        pa.array(likeness(own[:k], own[1:]), pa.float64()),
+    ]
 
 
-def edited(docs: DataFrame, rows_per_range: int = 1_500, most_ranges: int = 100_000) -> DataFrame:
+def edited(docs: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprints of every text and of its edited text (op6's contract).
 
-    Ranges of doc_id, cut at quantiles, are gathered in one task each; every
-    range also gets the first row of the range after it (descending ids; the
-    last range gets the first row of all), so no global order is built and each
-    text is shuffled once.  Equal ids follow each other in text order.
+    Documents are dealt to ranges of about ``range_bytes`` of text, sorted, by descending
+    doc_id, and streamed through with the next row in hand, so each text is shuffled
+    once and a task holds a megabyte of it, whatever the range.  The first and last
+    rows of the ranges meet in a second, small step.  Equal ids follow each other in
+    text order; null ids come last.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    parts = min(most_ranges, max(1, -(-ids.count() // rows_per_range)))
-    cuts = np.array(sorted(set(ids.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [], np.int64)
-
-    @F.pandas_udf("int")
-    def place(doc_id):
-        return pd.Series(np.searchsorted(cuts, doc_id.to_numpy(), side="left"))
-
-    # one row a range: at most ``most_ranges``
-    lead = ids.groupBy(place("doc_id").alias("part")).agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    # descending: after the last row of range i comes the top of the range below
-    tops = [(r.part, r.top) for r in lead]
-    lends = [(tops[(i + 1) % len(tops)][0], top) for i, (_, top) in enumerate(tops)]
-    placed = docs.select(place("doc_id").alias("part"), "doc_id", "none", "text", F.lit(False).alias("lent"))
-    borrowed = docs.join(F.broadcast(spark.createDataFrame(lends or [(0, 0)], "part int, top long")), F.col("doc_id") == F.col("top"))
-    first = borrowed.groupBy("part", "doc_id").agg(F.min(F.struct("text", "none")).alias("x")).select("part", "doc_id", "x.none", "x.text", F.lit(True).alias("lent"))
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    def run(key, group):
-        cols = group.select(["doc_id", "none", "text", "lent"]).to_pydict()
-        rows = sorted(zip(cols["lent"], [-x for x in cols["doc_id"]], cols["text"], cols["none"], strict=True), key=lambda r: (r[0], r[1], r[2]))
-        held = [(None if none else -neg, text) for _, neg, text, none in rows]
-        done = []
-        for block in _blocks(held):
-            pair = _edits(block)
-            own = _prints([t for _, t in block])
-            new = _prints([e for _, e in pair])
-            k = len(pair)
-            le, ln = likeness(own[:k], new), likeness(own[:k], own[1:])
-            done.append(pa.table([pa.array([i for i, _ in block[:k]], pa.int64()), pa.array([len(t) for t, _ in pair], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for _, e in pair], pa.string()), pa.array([x.tobytes().hex() for x in own[:k]], pa.string()), pa.array([x.tobytes().hex() for x in new], pa.string()), pa.array(le, pa.float64()), pa.array(ln, pa.float64())], names=[x.split()[0] for x in schema.split(", ")]))
-        return pa.concat_tables(done)
-
-    return placed.union(first).groupBy("part").applyInArrow(run, schema)
-
-
-def _blocks(rows: list, limit: int = 2 << 20) -> Iterator[list]:
-    """Runs of about ``limit`` characters; each also has the row after it."""
-    at = 0
-    while at < len(rows) - 1:
-        to, size = at, 0
-        while to < len(rows) - 1 and (to == at or size < limit):
-            size += len(rows[to][1])
-            to += 1
-        yield rows[at : to + 1]
-        at = to
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # ids that share a range's bound are parted by the start of their text
+    order = [F.desc("key"), F.col("doc_id").isNull(), F.substring("text", 1, 32)]
+    ranged = docs.repartitionByRange(max(1, -(-total // range_bytes)), *order).sortWithinPartitions(F.desc("key"), F.col("doc_id").isNull(), "text")
+
+    def run(batches, limit: int = 1 << 20):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        ids, texts, size, first = [], [], 0, True
+        names = [x.split()[0] for x in _EDGE.split(", ")]
+        null = lambda n: [pa.nulls(n, t) for t in (pa.int32(), pa.bool_(), pa.string())]
+
+        def edge(at: bool):
+            held = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            row = 0 if at else -1
+            held[0] = pa.array([ids[row]], pa.int64())
+            return pa.RecordBatch.from_arrays([*held, pa.array([part], pa.int32()), pa.array([at]), pa.array([texts[row]], pa.string())], names=names)
+
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if first:
+                    yield edge(True)
+                    first = False
+                if size > limit and len(ids) > 1:
+                    cols = _judged(ids, texts)
+                    yield pa.RecordBatch.from_arrays([*cols, *null(len(cols[0]))], names=names)
+                    ids, texts = ids[-1:], texts[-1:]
+                    size = len(texts[0])
+        if ids:
+            if len(ids) > 1:
+                cols = _judged(ids, texts)
+                yield pa.RecordBatch.from_arrays([*cols, *null(len(cols[0]))], names=names)
+            yield edge(False)
+        c.release()
+
+    kept = [x.split()[0] for x in _FOUND.split(", ")]
+    found = c.staged(ranged.select("doc_id", "text").mapInArrow(run, _EDGE), "edited")
+    edges = found.where("part is not null")
+    # a row for each range, without texts: what comes after it, round from the last to the first
+    parts = edges.where("first").select("part")
+    by = Window.orderBy("part")
+    after = parts.select("part", F.coalesce(F.lead("part").over(by), F.min("part").over(Window.partitionBy())).alias("next"))
+    lends = edges.where("first").select(F.col("part").alias("next"), F.col("text").alias("lent"))
+    last = edges.where("not first").select("part", "doc_id", "text").join(after, "part").join(lends, "next").select("doc_id", "text", "lent")
+
+    def close(batches):
+        for batch in batches:
+            rows = [_judged([i, None], [t, lent]) for i, t, lent in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*rows, strict=True)], names=kept)
+
+    return found.where("part is null").select(kept).union(last.mapInArrow(close, _FOUND))
 
 
 def _prints(texts: list[str]) -> np.ndarray:
@@ -245,4 +268,13 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """The contract's columns and ``near_count``: how many other fingerprints lie
     within ``RADIUS`` bits of the document's."""
     found = c.staged(edited(c.table(spark, sf_dir, "documents")), "fingerprints")
-    return found.join(near_counts(found), "fingerprint", "left").select(*found.columns, F.coalesce("near_count", F.lit(0)).alias("near_count"))
+    return with_counts(found)
+
+
+def with_counts(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``found`` (staged), with the near_count of its ``fingerprint``; one that many rows
+    share is no task of its own."""
+    counts = found.groupBy("fingerprint").agg(F.count("*").alias("_n"))
+    near = near_counts(found, radius).withColumnRenamed("fingerprint", "_of")
+    counts = counts.join(near, F.col("fingerprint") == F.col("_of"), "left").select("fingerprint", "_n", F.coalesce("near_count", F.lit(0)).alias("near_count"))
+    return c.join_counted(found, counts, ["fingerprint"], "_n", found.count()).select(*found.columns, "near_count")

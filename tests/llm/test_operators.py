@@ -203,6 +203,27 @@ def test_mixing_stops_small_sources(spark):
     assert got == {"a": 9060.0 - 180, "b": 150.0, "c": 30.0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sainte_lague_of_many_rows(spark, seed):
+    """Far-off roundings: many small rows beside a few that hold almost all."""
+    rng = random.Random(seed)
+    votes = [float(rng.randrange(1, 4)) for _ in range(150)] + [float(rng.randrange(2_000, 9_000)) for _ in range(rng.randrange(1, 4))]
+    seats = rng.choice([151, 700, 3_000])
+    df = spark.createDataFrame([(i, v, seats) for i, v in enumerate(votes)], "i int, v double, s int")
+    got = {r.i: r.quota for r in mixing.apportion(df, "s", "v", [F.col("i")]).collect()}
+    assert [got[i] for i in range(len(votes))] == brute_quotas(seats, votes)
+
+
+def test_mixing_with_clashing_names(spark, docs):
+    """Columns named like those at work inside come out as they went in."""
+    odd = docs.withColumn("_words", F.col("doc_id") * 2).withColumn("_begin", F.lit("b")).withColumn("part", F.lit(1)).withColumn("_row", F.lit(None).cast("int"))
+    got = mixing.mixed_texts(odd, block=16)
+    assert got.columns == odd.columns
+    assert rows_of(got.drop("_words", "_begin", "part", "_row"), *docs.columns) == rows_of(mixing.mixed_texts(docs, block=16), *docs.columns)
+    assert all(r["_words"] == 2 * r.doc_id and r["_begin"] == "b" for r in got.collect())
+    assert mixing.mix(odd, block=16).columns == ["doc_id", "lang", "source", "n_chars", "score", "_words", "_begin", "part", "_row", "size", "source_size", "target", "taken"]
+
+
 def test_mixed_texts(spark, docs):
     plan = {r.doc_id: r.taken for r in mixing.mix(docs, block=16).collect()}
     got = defaultdict(int)
@@ -549,9 +570,9 @@ def test_simhash_votes():
         assert got == brute_simhash(text)
 
 
-@pytest.mark.parametrize("rows", [1500, 4])
-def test_edited(spark, docs, none, rows):
-    got = {r.doc_id: r for r in simhash.edited(docs, rows_per_range=rows).collect()}
+@pytest.mark.parametrize("size", [32 << 20, 4_000, 1])
+def test_edited(spark, docs, none, size):
+    got = {r.doc_id: r for r in simhash.edited(docs, range_bytes=size).collect()}
     texts = sorted(((r[0], r[1] or "") for r in corpus()), reverse=True)
     assert len(got) == len(texts)
     for k, (i, t) in enumerate(texts):
@@ -563,6 +584,19 @@ def test_edited(spark, docs, none, rows):
     assert simhash.edited(none).count() == 0
 
 
+def test_edited_ties_and_nulls(spark):
+    """Equal ids follow each other in text order, null ids come last; the last row is
+    followed by the first."""
+    rows = [(5, prose(1, 20)), (5, prose(2, 20)), (5, prose(2, 20)), (9, prose(3, 20)), (None, prose(4, 20)), (None, None), (-(1 << 63), prose(5, 20))]
+    texts = sorted(((-(1 << 63) if i is None else i, i is None, t or "") for i, t in rows), key=lambda r: (-r[0], r[1], r[2]))
+    want = sorted((hashlib.sha256((t[: len(t) - len(t) // 3] + texts[(k + 1) % len(texts)][2][: len(t) // 3]).encode()).hexdigest(), None if none else i) for k, (i, none, t) in enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (1 << 20, 60, 1):
+        got = simhash.edited(df, range_bytes=size).collect()
+        assert sorted(((r.edited_sha256, r.doc_id) for r in got), key=str) == sorted(want, key=str)
+    assert [r.near_next for r in simhash.edited(df.limit(1)).collect()] == [1.0]
+
+
 def test_near_finds_every_pair(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(128) for _ in range(30)]

@@ -106,3 +106,18 @@ def test_query(spark, name):
 
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in entry.queries() if k.startswith("op")} == {*range(1, 11)} and "pipeline" in entry.queries()
+
+
+def test_stages_pass_clashing_names_on(spark, sf_dir):
+    """Columns named like those at work inside the stages, and null ids, go through."""
+    names = {"_score": "x", "toxicity": "y", "part": "p", "_words": "w", "row": "r", "kept_text": "k", "_begin": "b", "node": "n"}
+    docs = common.table(spark, sf_dir, "documents")
+    docs = docs.union(docs.limit(1).selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
+    for k, v in names.items():
+        docs = docs.selectExpr("*", f"'{v}' as {k}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.staged(stage(spark, docs, sf_dir), name)
+        assert after.columns == docs.columns and after.count() > 0
+        assert {tuple(r[k] for k in names) for r in after.collect()} == {tuple(names.values())}
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
