@@ -22,24 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     if not len(model.slots):
         return docs
-    return toxicity.score(docs, model, docs.columns, "_score").where(F.col("_score") < TOXIC_FROM).select(docs.columns)
+    score = common.fresh("toxicity", docs.columns)
+    return toxicity.score(docs, model, docs.columns, score).where(F.col(score) < TOXIC_FROM).select(*(F.col(f"`{k}`") for k in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each near-duplicate group.  Rows
-    that share an id are one document; rows without an id stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document, that with the least id, of each near-duplicate group, linked at a
+    similarity of 0.8, as near-duplicate stages are unless a contract says otherwise.
+    Rows that share an id are one document; rows without an id stay."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings that also start earlier."""
-    other = [k for k in docs.columns if k != "text"]
-    kept = suffixes.cut_repeats(docs, other, with_text=True)
-    text = kept.withColumn("text", F.col("kept_text"))
-    if "n_chars" in other:
-        text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return text.select(docs.columns)
+    return suffixes.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, held = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if held is not None:  # written anew: nothing reads the one before
+            common.discard(held)
+        held = docs
     return docs
