@@ -248,8 +248,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges are in no step gathered in one task.
     """
     pairs = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
-    seen, total = None, pairs.count()
-    while True:
+    while not _stars(pairs):
+        total = pairs.count()
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
         large = join_counted(both, least, ["u"], "_n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -262,14 +262,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         after = staged(moved, name)
         discard(pairs, *([large] if total > PLAIN else []))
         pairs = after
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        total = now[0]
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    label = pairs.groupBy("u").agg(F.min("v").alias("component"))
-    roots = label.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
-    return label.select(F.col("u").alias("node"), "component").union(roots)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node points to one other at most, and none to a node that points on."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("out").alias("n"), F.count("*").alias("all")).where("n > 1 or (n = 1 and all > 1)").isEmpty()
 
 
 def held_out(doc_id: str = "doc_id"):

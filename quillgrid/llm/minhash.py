@@ -17,8 +17,9 @@ in 64 places up to 4.5 deviations below the threshold.
    candidate pair: n - 1 pairs, stars about rows met early.  Pairs are confirmed on
    full sets; a text travels once for each of its pairs, a hub's once more for each
    ``GROUP_SHINGLES`` of its partners.
-2. Groups whose pairs were all confirmed, or whose rows are linked through others, are
-   done: no pair of theirs can join anything new.  The rows of the others are
+2. Groups whose pairs were all confirmed are done: no pair of theirs can join anything
+   new.  Where the others' rows are more than the corpus, so are those whose rows are
+   linked through others.  The rows of what is left are
    compared once more, exactly, on full sets, group by group; a comparison is
    skipped only between documents that are already linked through others.
 
@@ -122,9 +123,12 @@ def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> Non
         label, by = groups_of(sig, size, near)
         more = by != np.arange(len(ids))
         if more.any():
-            group = c.mix(ids[label[more]].astype(np.uint64) + c.U64(c.mix_int(seed + depth))).astype(np.int64)
+            # a group is known by its rows: that of the same rows in another tree is the same
+            group = np.zeros(len(ids), np.uint64)
+            np.add.at(group, label, c.mix(ids.astype(np.uint64)))
+            group = c.mix(group).astype(np.int64)
             a, b = ids[more], ids[by[more]]
-            out.append((np.maximum(a, b), np.minimum(a, b), size[more], group))
+            out.append((np.maximum(a, b), np.minimum(a, b), size[more], group[label[more]]))
         return
     for place in _branches(seed):
         order = np.argsort(sig[:, place], kind="stable")
@@ -146,7 +150,8 @@ def _node_pairs(near: int):
         two = cut[:-1][np.diff(cut) == 2]
         alike = ((sig[two] == sig[two + 1]).sum(1) >= agreement(near, 4.5)) & (np.minimum(size[two], size[two + 1]) * 100 >= near * np.maximum(size[two], size[two + 1]))
         two = two[alike]
-        out.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1]), size[two], node[two]))
+        group = c.mix(c.mix(ids[two].astype(np.uint64)) + c.mix(ids[two + 1].astype(np.uint64))).astype(np.int64)
+        out.append((np.maximum(ids[two], ids[two + 1]), np.minimum(ids[two], ids[two + 1]), size[two], group))
         for k in np.flatnonzero(np.diff(cut) > 2):
             a, b = cut[k], cut[k + 1]
             _node(sig[a:b], size[a:b], ids[a:b], int(node[a]) & (2**64 - 1), near, out)
@@ -219,7 +224,7 @@ def candidates(nodes: DataFrame, classes: DataFrame, near: int = NEAR, bucket_ro
     groups, and the size of one of them."""
     buckets = max(1, -(-nodes.count() // bucket_rows))
     dealt = nodes.join(classes, "rep").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst")
+    return dealt.groupBy("bucket").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst").distinct()
 
 
 def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
@@ -337,19 +342,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_
     texts = c.staged(texts.distinct() if some_repeat else texts, "candidate-texts")
     sure = c.staged(confirmed_pairs(texts, pairs, width, near, load=group_shingles), "links")
     links = sure if edges is None else sure.union(edges)
-    label = c.connected_components(links, "first-components")
-
-    failed = c.staged(met.join(sure, ["src", "dst"], "left_anti"), "failed")
-    open_groups = _apart(failed, label).select("group").distinct()
-    if deep is not None and (outside := _outsiders(deep, label)) is not None:
-        late = c.staged(candidates(outside, one, near), "met")
-        open_groups, met = open_groups.union(_apart(late, label).select("group").distinct()), met.union(late)
-        ends = late.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
-        texts = texts.union(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")).distinct()
-    members = met.join(open_groups, "group").select("group", F.explode(F.array("src", "dst")).alias("rep"), "n").groupBy("group", "rep").agg(F.max("n").alias("n"))
-    again = c.staged(confirmed(texts, c.staged(members, "members"), width, near, group_shingles), "links")
-    if not again.isEmpty():
-        label = c.connected_components(links.union(again))
+
+    failed = met.join(sure, ["src", "dst"], "left_anti")
+    members = c.staged(_members(met, failed.select("group").distinct()), "members")
+    whole, load = one.agg(F.sum("n")).first()[0] or 0, members.agg(F.sum("n")).first()[0] or 0
+    if deep is not None or load > whole:  # what is linked through others need not travel again
+        label = c.connected_components(links, "first-components")
+        open_groups = _apart(c.staged(failed, "failed"), label).select("group").distinct()
+        if deep is not None and (outside := _outsiders(deep, label)) is not None:
+            late = c.staged(candidates(outside, one, near), "met")
+            open_groups, met = open_groups.union(_apart(late, label).select("group").distinct()), met.union(late)
+            ends = late.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+            texts = texts.union(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")).distinct()
+        members = c.staged(_members(met, open_groups.distinct()), "members")
+    again = c.staged(confirmed(texts, members, width, near, group_shingles), "links")
+    label = c.connected_components(links.union(again))
 
     named = classes.select("set_key", "rep", "copies").join(label, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"), "copies")
     in_class = c.join_counted(there.drop("sig"), named, ["set_key"], "copies", max(1, there.count())).select("doc_id", "n_shingles", "component")
@@ -360,6 +367,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_
     return every.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _members(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, rep, n) of the rows of some groups."""
+    return met.join(groups, "group").select("group", F.explode(F.array("src", "dst")).alias("rep"), "n").groupBy("group", "rep").agg(F.max("n").alias("n"))
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (staged) whose ends are of two components."""
     pairs_n = pairs.count()
