@@ -280,9 +280,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, s
     """(doc_id, text, y): at most ``sample`` labelled rows that are not held out, of
     ``sample_bytes`` of text in all, in the order of a hash of id and text; rows of more
     than a sixteenth of that are passed over.  Ids labelled twice count as 1 if any
-    label is."""
+    label is.  The ids, the ``sample`` with the least hash, are broadcast."""
     given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    met = docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id"))
+    given = given.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    met = docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("_id"))
     met = met.select("doc_id", "text", "y", F.xxhash64("doc_id", "text").alias("_at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_n"))
     met = met.where(F.col("_n") * 16 <= sample_bytes)
     # narrow rows first: as many as the bounds allow
