@@ -10,10 +10,7 @@ import functools
 import re
 from dataclasses import dataclass
 
-try:
-    import regex as engine
-except ModuleNotFoundError:  # the standard library differs in rare classes only
-    engine = re
+import regex as engine  # on every machine: the standard library reads some classes otherwise
 
 _NAME = r"[A-Za-z0-9_-]+"
 _INSIDE = re.compile(rf"(?:(?P<id>{_NAME}):)?/(?P<re>.+)/|(?P<bare>{_NAME})", re.DOTALL)

@@ -8,6 +8,7 @@ quotes and lists are taken off.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,9 +34,11 @@ class Node:
     parent: Node | None = field(default=None, repr=False)
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for child in self.children:
-            yield from child.walk()
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.children)
 
 
 def parse(source: str) -> Node:
@@ -285,17 +288,17 @@ def inline(text: str, at: int) -> list[Node]:
 
 def node_rows(source: str) -> list[tuple]:
     """(idx, parent, depth, kind, start, end, text) with byte offsets."""
-    bytes_upto = [0]
-    for ch in source:
-        bytes_upto.append(bytes_upto[-1] + len(ch.encode("utf-8", "surrogatepass")))
-    out = []
-
-    def visit(node: Node, parent: int | None, depth: int) -> None:
-        out.append((node.index, parent, depth, node.kind, bytes_upto[min(node.start, len(source))], bytes_upto[min(node.end, len(source))], node.text))
-        for child in node.children:
-            visit(child, node.index, depth + 1)
-
-    visit(parse(source), None, 0)
+    out: list[tuple] = []
+    if source.isascii():
+        place = lambda k: min(k, len(source))
+    else:
+        upto = [0, *itertools.accumulate(len(ch.encode("utf-8", "surrogatepass")) for ch in source)]
+        place = lambda k: upto[min(k, len(source))]
+    todo: list[tuple[Node, int | None, int]] = [(parse(source), None, 0)]
+    while todo:
+        node, parent, depth = todo.pop()
+        out.append((node.index, parent, depth, node.kind, place(node.start), place(node.end), node.text))
+        todo += [(child, node.index, depth + 1) for child in reversed(node.children)]
     return out
 
 

@@ -36,7 +36,8 @@ def sentence(error: dict) -> str:
 
 def report(text: str, errors: list[dict]) -> str:
     """A line for each error: line and column (from 1), then what is wrong."""
-    nodes = list(parse(text).walk())
+    # an error without a node, as where the text could not be read, is about its start
+    nodes = list(parse(text).walk()) if any(e["input_index"] for e in errors) else []
     out = []
     for error in errors:
         k = error["input_index"]

@@ -23,7 +23,8 @@ from quillgrid.functions.grammar import Matcher, MatcherError
 from quillgrid.functions.markdown import Node
 from quillgrid.operators.compare import matcher_at, repeated_item, repeated_paragraph, row_bounds, schema_tree, simple_cell
 
-BLOCK = r"(?m)^```[^\n`]*\n(?:(?!```)[^\n]*\n)*```$|^[^\n]+(?:\n[^\n]+)*"
+#: Possessive loops: other loops of groups take a stack frame a line.
+BLOCK = r"(?m)^```[^\n`]*\n(?:(?!```)[^\n]*\n)*+```$|^[^\n]+(?:\n[^\n]+)*+"
 #: What only the full parser reads, outside of fences.
 ODD = r"[`*_\[\]\\<\t\r]|(?m)^ |(?m) $|^(?:~~~|\+ )"
 _STARTS = r"(?:#{1,6}(?: |$)|[-*+](?: |$)|\d{1,9}[.)](?: |$)|>|```|~~~|[=-]+$|\|)"
@@ -41,7 +42,15 @@ class Compiled:
     repeated: frozenset[str]
 
 
+#: Beyond so many items of their own a list is compared as a tree.
+MOST_ITEMS = 200
+
+
 def _all(*parts: Column) -> Column:
+    """All of them, as a balanced tree: a long schema makes no deep expression."""
+    if len(parts) > 2:
+        half = len(parts) // 2
+        return _all(*parts[:half]) & _all(*parts[half:])
     return functools.reduce(operator.and_, parts, F.lit(True))
 
 
@@ -152,6 +161,14 @@ def _list(node: Node, b: Column, captures: dict, repeated: set) -> Column:
     if ordered:
         uniform = uniform & (F.size(F.array_distinct(F.transform(lines, lambda x: F.regexp_extract(x, r"^\d+([.)])", 1)))) == 1)
     checks, at = [uniform], 0
+    plain: list[str] = []  # literal items in a row are compared as one array
+
+    def put_plain() -> None:
+        if plain:
+            checks.append(F.slice(items, at - len(plain) + 1, len(plain)) == F.array(*(F.lit(x) for x in plain)))
+            plain.clear()
+
+    own_items = 0
     for k, item in enumerate(node.children):
         try:
             own = repeated_item(item)
@@ -159,6 +176,17 @@ def _list(node: Node, b: Column, captures: dict, repeated: set) -> Column:
             raise Unsupported(str(wrong)) from None
         text = _text(item.children[1].children, repeats=True)
         last = k + 1 == len(node.children)
+        if own is None and text.own is None:
+            plain.append(text.prefix)
+            at += 1
+            if last:
+                put_plain()
+                checks.append(F.size(items) == at)
+            continue
+        put_plain()
+        own_items += 1
+        if own_items > MOST_ITEMS:
+            raise Unsupported("a long list of matchers")
         if own is None:
             one = F.get(items, F.lit(at))
             checks.append(text.accepts(one))
@@ -268,9 +296,14 @@ def _paragraph(b: Column) -> Column:
     return b.isNotNull() & ~b.rlike(r"(?m)^" + _STARTS)
 
 
-def compiled(schema: str, text: Column) -> Compiled:
+def blocks_of(text: Column) -> Column:
+    """The blocks of a text, which :func:`compiled` reads many times: keep them in a column."""
+    return F.regexp_extract_all(text, F.lit(BLOCK), 0)
+
+
+def compiled(schema: str, text: Column, blocks: Column | None = None) -> Compiled:
     """The expressions of a schema over a text column; raises :class:`Unsupported`."""
-    blocks = F.regexp_extract_all(text, F.lit(BLOCK), 0)
+    blocks = blocks_of(text) if blocks is None else blocks
     nodes = schema_tree(schema).children
     checks: list[Column] = []
     captures: dict[str, Column] = {}

@@ -1,10 +1,12 @@
 """Documents that arrive in chunks, judged while they grow.
 
-Input: a stream of (doc_id, seq, chunk, eof).  The state of a document is its text so
-far and the chunks that came before their turn.  With ``fast_fail`` a document that
+Input: a stream of (doc_id, seq, chunk, eof).  The state of a document is the text from
+its last block on, what was found before that, and the chunks that came before their
+turn: a batch judges what is new, and blocks that no text can change are dropped.  With
+``fast_fail`` a document that
 can no longer become valid is reported and closed before its end; the report of a
 document that ended equals that of the whole text.  Chunks for a closed document are
-reported as late.  A document that stops growing for ``ttl`` is judged as it is, with
+reported as late, with their number.  A document that stops growing for ``ttl`` is judged as it is, with
 status ``timeout``, and its state is dropped.
 
 Defined cases: a chunk that comes twice counts once; null chunks are empty; a missing
@@ -20,25 +22,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quillgrid.operators.api import judged
+from quillgrid.operators.api import failure, json_of
+from quillgrid.operators.compare import Growing
 
 OUTPUT = "doc_id string, status string, is_valid boolean, value string, n_errors int, errors string"
-_STATE = "text string, pending string, next int, last int, closed boolean"
+_STATE = "growing string, pending map<int,string>, next int, last int, closed boolean"
 
 
 def _stepper(schema: str, fast_fail: bool, ttl_ms: int | None):
-    def row(key, status, text, complete):
-        valid, value, errors = judged(schema, text, complete)
-        return pd.DataFrame([(key[0], status, valid, value, len(errors), json.dumps(errors, ensure_ascii=False))], columns=[x.split()[0] for x in OUTPUT.split(", ")])
+    names = [x.split()[0] for x in OUTPUT.split(", ")]
+
+    def row(key, status, growing, complete):
+        try:
+            found = growing.judge(complete)
+            valid, value, errors = not found.errors, json_of(found.value), found.errors
+        except Exception as wrong:  # one odd document must not end the stream
+            valid, value, errors = failure(wrong)
+        return pd.DataFrame([(key[0], status, valid, value, len(errors), json.dumps(errors, ensure_ascii=False))], columns=names)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        text, pending, at, last, closed = state.get if state.exists else ("", "{}", 0, -1, False)
+        held_text, pending, at, last, closed = state.get if state.exists else (None, {}, 0, -1, False)
+        growing = Growing.of(schema, held_text) if held_text else Growing(schema)
         if state.hasTimedOut:
             state.remove()
             if not closed:
-                yield row(key, "timeout", text, True)
+                yield row(key, "timeout", growing, True)
             return
-        held, late = json.loads(pending), 0
+        held, late = dict(pending or {}), 0
         for frame in frames:
             for seq, chunk, eof in zip(frame["seq"], frame["chunk"], frame["eof"], strict=True):
                 if closed:
@@ -47,21 +57,22 @@ def _stepper(schema: str, fast_fail: bool, ttl_ms: int | None):
                 if eof:
                     last = int(seq)
                 if int(seq) >= at:
-                    held.setdefault(str(int(seq)), chunk if isinstance(chunk, str) else "")
-        while not closed and str(at) in held and (last < 0 or at <= last):
-            text += held.pop(str(at))
-            at += 1
+                    held.setdefault(int(seq), chunk if isinstance(chunk, str) else "")
+        grown = False
+        while not closed and at in held and (last < 0 or at <= last):
+            growing.read(held.pop(at))
+            at, grown = at + 1, True
         if late:
-            yield pd.DataFrame([(key[0], "late", None, None, late, None)], columns=[x.split()[0] for x in OUTPUT.split(", ")])
+            yield pd.DataFrame([(key[0], "late", None, None, late, None)], columns=names)
         elif not closed and 0 <= last < at:
             closed = True
-            yield row(key, "complete", text, True)
-        elif not closed and fast_fail:
-            found = row(key, "failed", text, False)
-            if not found["is_valid"][0]:
+            yield row(key, "complete", growing, True)
+        elif not closed and grown:
+            found = row(key, "failed", growing, False)
+            if fast_fail and found["is_valid"][0] == False:  # noqa: E712  null where our own code failed
                 closed = True
                 yield found
-        state.update(("" if closed else text, "{}" if closed else json.dumps(held), at, last, closed))
+        state.update((None if closed else growing.state(), {} if closed else held, at, last, closed))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
 

@@ -4,6 +4,8 @@ A session is fed the whole text so far, as often as it grows.  Before the end on
 what no further text can mend is an error; at the end the report is that of the whole
 text, whatever was reported on the way.
 
+Blocks before the last are judged once: a session goes on where it was.
+
 Defined cases: a text no longer than the one before changes nothing; text that comes
 after the end raises :class:`ReadAfterEnd`; a session of a complete text has ended.
 """
@@ -14,7 +16,7 @@ from dataclasses import dataclass, field
 
 from quillgrid.functions.report import report as in_words
 from quillgrid.operators.api import json_of
-from quillgrid.operators.compare import compare
+from quillgrid.operators.compare import Growing
 
 
 class ReadAfterEnd(RuntimeError):
@@ -29,6 +31,9 @@ class Session:
     errors: list[dict] = field(default_factory=list)
     value: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.growing = Growing(self.schema).read(self.text)
+
     @classmethod
     def of(cls, schema: str, text: str) -> Session:
         """A session of a complete text, judged."""
@@ -39,12 +44,15 @@ class Session:
         if self.ended:
             raise ReadAfterEnd("the document has ended")
         if len(text) > len(self.text):
+            # a text that does not go on with what was read is another one
+            same = text.startswith(self.text)
+            self.growing = self.growing.read(text[len(self.text) :]) if same else Growing(self.schema).read(text)
             self.text = text
         self.ended = end
         return self
 
     def validate(self) -> Session:
-        found = compare(self.schema, self.text, self.ended)
+        found = self.growing.judge(self.ended)
         self.errors, self.value = found.errors, found.value
         return self
 
