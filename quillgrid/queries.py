@@ -450,7 +450,7 @@ query("matcher_shown_in_errors", "region", "r_name", "x `id:/a+b/`", "SELECT CAS
 query("repeat_in_container", "region", "concat('# ', r_name)", "# `a:/[A-Z]+/`{1,2}", "SELECT CAST(r_regionkey AS BIGINT) AS id, false AS is_valid, CAST(1 AS BIGINT) AS n_errors, 'RepeatingMatcherInTextContainer' AS code FROM region", "r_regionkey", captures={}, more=_CODE)
 query("list_bad_regex", "region", "concat('- ', r_name)", "- `a:/(/`{1,2}", "SELECT CAST(r_regionkey AS BIGINT) AS id, false AS is_valid, CAST(1 AS BIGINT) AS n_errors, 'MatcherError' AS code, 'InteriorRegexInvalid' AS kind FROM region", "r_regionkey", captures={}, more=_KIND)
 query("list_unbounded_guard", "region", "concat('- ', r_name, '\n- end')", "- `a:/[A-Z ]+/`{1,}\n- end", "SELECT CAST(r_regionkey AS BIGINT) AS id, false AS is_valid, CAST(1 AS BIGINT) AS n_errors, 'RepeatingMatcherUnbounded' AS code FROM region", "r_regionkey", captures={}, more=_CODE)
-query("list_literal_nested", "nation", "concat('- top\n    - key ', if(n_regionkey = 0, 'x', n_nationkey), '\n- end')", "- top\n    - key `key:/[0-9]+/`\n- end", "SELECT CAST(n_nationkey AS BIGINT) AS id, " + _VALID("n_regionkey <> 0") + ", CASE WHEN n_regionkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS key FROM nation", "n_nationkey")
+query("list_literal_nested", "nation", "concat('- top\n    - key ', if(n_regionkey = 0, 'x', string(n_nationkey)), '\n- end')", "- top\n    - key `key:/[0-9]+/`\n- end", "SELECT CAST(n_nationkey AS BIGINT) AS id, " + _VALID("n_regionkey <> 0") + ", CASE WHEN n_regionkey <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS key FROM nation", "n_nationkey")
 query("list_marker_only", "nation", "concat('- a\n-', if(n_regionkey = 0, ' b', ''))", "- a\n-", "SELECT CAST(n_nationkey AS BIGINT) AS id, " + _VALID("n_regionkey <> 0") + ", CASE WHEN n_regionkey = 0 THEN 'MalformedNodeStructure' END AS code, CASE WHEN n_regionkey = 0 THEN 'HadExtraListItem' END AS kind FROM nation", "n_nationkey", more=_KIND)
 query("list_missing_content", "nation", "concat('- a\n-', if(n_regionkey = 0, '', ' b'))", "- a\n- b", "SELECT CAST(n_nationkey AS BIGINT) AS id, " + _VALID("n_regionkey <> 0") + ", CASE WHEN n_regionkey = 0 THEN 'MissingListItemContent' END AS kind FROM nation", "n_nationkey", more=["get(errors, 0).kind as kind"])
 query("list_long_literal", "nation", "concat(array_join(transform(sequence(1, 2000), i -> concat('- item ', if(n_regionkey = 0 and i = 1500, 0, i))), '\n'))", "\n".join(f"- item {i}" for i in range(1, 2001)), "SELECT CAST(n_nationkey AS BIGINT) AS id, " + _VALID("n_regionkey <> 0") + ", CASE WHEN n_regionkey = 0 THEN 'item 1500' END AS expected FROM nation", "n_nationkey", more=["get(errors, 0).expected as expected"])
