@@ -8,7 +8,8 @@ number of sequences; where that equals the number used, the partition is
 certified best.  Partitions with a gap release the documents of their emptiest
 sequences, and every partition those of sequences under nine tenths full, which are
 best for it but not for all; released documents are pooled, dealt anew and packed
-again, until no gap closes (``rounds`` at most).
+again, until no gap closes (``rounds`` at most).  ``certified`` tells of each piece
+whether the partition that placed it used as few sequences as its bound.
 
 Tokenising splits at white space, which the tokenizer drops and never joins over,
 and keeps the ids of chunks it has met in a bounded table (emptied when full and at a
@@ -16,8 +17,9 @@ task's end), so memory does not follow the corpus.  The tokenizer file's path is
 file must be at that path on every executor.
 
 Defined cases: null and empty texts are the separator alone, one piece of length
-1; repeated rows are pieces of their own; an empty table gives no row; other
-columns are ignored.
+1; repeated rows are pieces of their own; a very long text is many pieces, its ids held
+once in memory; pieces of one length are placed in the order of their ids; an empty table
+gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,11 +90,16 @@ class Tokens:
 
 
 class _Table(dict):
-    def __init__(self, make):
-        self.make = make
+    """Ids by chunk; one of more than ``longest`` characters is not kept, so that entries
+    bound bytes."""
+
+    def __init__(self, make, longest: int = 48):
+        self.make, self.longest = make, longest
 
     def __missing__(self, key):
-        found = self[key] = self.make(key)
+        found = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = found
         return found
 
 
@@ -176,7 +183,7 @@ def lower_bound(length: np.ndarray, size: int) -> int:
     return best
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free boolean, bins long, bound long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free boolean, bins long, bound long, certified boolean"
 
 
 def _packer(size: int, level: int, alone: bool):
@@ -198,16 +205,16 @@ def _packer(size: int, level: int, alone: bool):
         lead = (part << 34) | (level << 30)
         out = [table.column(k).combine_chunks() for k in names[:5]]
         n = len(length)
-        made = [pa.array(lead + bins), pa.array(offset), pa.array(free[bins] if n else np.zeros(0, bool)), pa.array(np.full(n, int(free.sum()))), pa.array(np.full(n, bound))]
+        made = [pa.array(lead + bins), pa.array(offset), pa.array(free[bins] if n else np.zeros(0, bool)), pa.array(np.full(n, int(free.sum()))), pa.array(np.full(n, bound)), pa.array(np.full(n, gap == 0))]
         return pa.table([*out, *made], names=names)
 
     return run
 
 
 def pack(parts: DataFrame, size: int = SEQUENCE, rows_per_part: int = 50_000, rounds: int = 3) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most ``size`` tokens."""
+    """Adds sequence_id, offset and certified to pieces of at most ``size`` tokens."""
     parts = c.staged(parts, "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
     done, todo, before = [], parts, None
     for level in range(rounds + 1):
         n = todo.count()

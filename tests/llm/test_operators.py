@@ -788,6 +788,8 @@ def tokenizer_path():
 
 def test_tokens_are_the_tokenizers():
     coder = packing.Tokens(tokenizer_path(), most=50)
+    coder.encode(["x" * 5000 + " ab"])
+    assert all(len(k) <= 48 for k in coder.chunks) and "ab" in coder.chunks
     texts = [r[1] or "" for r in corpus()] + ["a\x1cb", "İ ΣΑΣ x’s 12３", "<|endoftext|>x don't DON'T'S", "é́ é", "a b", "🙂🙂a1", "ŉ ſ K", "Été***, ÉTÉ!! it's"]
     got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
     assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -812,6 +814,8 @@ def test_packing(spark, docs, none, rows):
         held.sort()
         assert [o for o, _ in held] == [0, *np.cumsum([n for _, n in held])[:-1]] and sum(n for _, n in held) <= 2048
     bound = packing.lower_bound(np.array([x[3] for x in want]), 2048)
+    if len(bins) == bound and rows > 1000:
+        assert all(r.certified for r in got)
     assert bound <= len(bins) <= bound + (1 if rows > 1000 else 3)
     assert packing.pack(packing.pieces(none, path)).count() == 0
 
