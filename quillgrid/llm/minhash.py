@@ -51,7 +51,7 @@ from . import common as c
 PLACES = 64
 _TIMES = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 31, PLACES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, PLACES).astype(np.uint32)
-WIDTH, NEAR, TREES, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 80, 8, 2_000, 6, 2 << 20
+WIDTH, NEAR, TREES, NODE_ROWS, LEVELS, GROUP_SHINGLES = 5, 80, 8, 16_000, 6, 2 << 20
 LEADERS = 8
 
 
