@@ -283,8 +283,10 @@ def _folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
     path = f"{base.rstrip('/')}/quillgrid-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at)  # only what is there can be marked
+    system.deleteOnExit(at)
+    return f"{path}/data"
 
 
 def _streamed(spark: SparkSession, docs: DataFrame, schema: str, **options) -> DataFrame:
