@@ -18,10 +18,9 @@ in 64 places up to 4.5 deviations below the threshold.
    full sets; a text travels once for each of its pairs, a hub's once more for each
    ``GROUP_SHINGLES`` of its partners.
 2. Groups whose pairs were all confirmed are done: no pair of theirs can join anything
-   new.  Where the others' rows are more than the corpus, so are those whose rows are
-   linked through others.  The rows of what is left are
-   compared once more, exactly, on full sets, group by group; a comparison is
-   skipped only between documents that are already linked through others.
+   new.  The rows of the others are compared once more, exactly, on full sets, group by
+   group; a comparison is skipped only between documents that are already linked, by
+   the pairs confirmed before or through others.
 
 A group lies within one node, so both steps are bounded by nodes of ``node_rows``
 classes, whatever the number of copies.  What is still larger after ``levels``
@@ -117,7 +116,7 @@ def _branches(seed: int, many: int = 2) -> list[int]:
     return [c.mix_int(seed * 131 + b) % PLACES for b in range(many)]
 
 
-def _node(sig, size, ids, seed, near, out, depth=0, small=256, deepest=3) -> None:
+def _node(sig, size, ids, seed, near, out, depth=0, small=8_192, deepest=3) -> None:
     """Branch a node in memory; append (id, id, size, group) candidate pairs."""
     if len(ids) <= small or depth >= deepest:
         label, by = groups_of(sig, size, near)
@@ -227,28 +226,45 @@ def candidates(nodes: DataFrame, classes: DataFrame, near: int = NEAR, bucket_ro
     return dealt.groupBy("bucket").applyInArrow(_node_pairs(near), "src long, dst long, n long, group long").where("src <> dst").distinct()
 
 
-def exact_groups(found: list[np.ndarray], near: int) -> np.ndarray:
-    """Label (least index) of each set: connected by 100 |A and B| >= near |A or B|."""
+def exact_groups(found: list[np.ndarray], near: int, linked: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Label (least index) of each set: connected by 100 |A and B| >= near |A or B|.
+    ``linked``: pairs that are known to be; only sets not linked yet are compared."""
     n = len(found)
     size = np.array([len(s) for s in found], np.int64)
     sig = np.stack([signature(s) for s in found])
+    held = np.arange(n)  # the component of each by the known pairs
+    for a, b in linked:
+        while held[a] != a:
+            a = held[a] = held[held[a]]
+        while held[b] != b:
+            b = held[b] = held[held[b]]
+        held[max(a, b)] = min(a, b)
+    for k in range(n):
+        held[k] = held[held[k]]
+    members: dict[int, list[int]] = {}
+    for k, h in enumerate(held.tolist()):
+        members.setdefault(h, []).append(k)
     label = np.full(n, -1)
     rest = np.arange(n)
     least = agreement(near, 6.7)
     for root in range(n):
         if label[root] >= 0:
             continue
-        label[root] = root
-        rest = rest[rest != root]
-        todo = [root]
+        todo = list(members[int(held[root])])
+        label[todo] = root
+        rest = rest[label[rest] < 0]
         while todo and len(rest):
             u = todo.pop()
             may = rest[(np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u])) & ((sig[rest] == sig[u]).sum(1) >= least)]
-            hit = [v for v in may.tolist() if _similar(found[u], found[v], near)]
-            if hit:
-                label[hit] = root
+            more: list[int] = []
+            for v in may.tolist():
+                if label[v] < 0 and _similar(found[u], found[v], near):
+                    own = members[int(held[v])]
+                    label[own] = root
+                    more += own
+            if more:
                 rest = rest[label[rest] < 0]
-                todo += hit
+                todo += more
     return label
 
 
@@ -295,17 +311,18 @@ def confirmed_pairs(texts: DataFrame, pairs: DataFrame, width: int = WIDTH, near
 def confirmed(texts: DataFrame, members: DataFrame, width: int = WIDTH, near: int = NEAR, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """(src, dst) links over full sets that connect what is similar within each group.
 
-    members: rep, n, group; a group is part of one node, so the pairs of blocks that one
-    of more than ``group_shingles`` takes do not grow with the table."""
+    members: rep, n, group, and ``links``, the reps that it is known to be similar to; a
+    group is part of one node, so the pairs of blocks that one of more than
+    ``group_shingles`` takes do not grow with the table."""
     load = members.groupBy("group").agg(F.sum("n").alias("load"))
     load = load.select("group", F.ceil(F.col("load") / group_shingles).cast("long").alias("blocks"), "load")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
-    placed = members.join(load, "group").select("rep", "group", pairs.alias("pair"))
+    placed = members.join(load, "group").select("rep", "group", "links", pairs.alias("pair"))
     # small groups share a task
     whole = load.agg(F.sum(F.col("load") * F.col("blocks"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64("group", "i", "j"), F.lit(max(1, -(-whole // group_shingles))))
-    dealt = texts.join(placed, "rep").select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "text").withColumn("bucket", bucket)
+    dealt = texts.join(placed, "rep").select("group", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "links", "text").withColumn("bucket", bucket)
 
     def run(key, table):
         src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -314,9 +331,12 @@ def confirmed(texts: DataFrame, members: DataFrame, width: int = WIDTH, near: in
             ids, found = table.column("rep").to_numpy(), _sets_of(table, width)
             of = np.stack([table.column(k).to_numpy() for k in ("group", "i", "j")])
             cut = np.append(np.flatnonzero(np.append(True, (of[:, 1:] != of[:, :-1]).any(0))), len(ids))
+            known = table.column("links").to_pylist()
             for a, b in zip(cut, cut[1:], strict=False):
+                at = {i: k for k, i in enumerate(ids[a:b].tolist())}
+                linked = [(k, at[o]) for k in range(b - a) for o in known[a + k] if o in at]
                 src.append(ids[a:b])
-                dst.append(ids[a:b][exact_groups(found[a:b], near)])
+                dst.append(ids[a:b][exact_groups(found[a:b], near, linked)])
         return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], names=["src", "dst"])
 
     return dealt.groupBy("bucket").applyInArrow(run, "src long, dst long").where("src <> dst").distinct()
@@ -343,18 +363,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_
     sure = c.staged(confirmed_pairs(texts, pairs, width, near, load=group_shingles), "links")
     links = sure if edges is None else sure.union(edges)
 
-    failed = met.join(sure, ["src", "dst"], "left_anti")
-    members = c.staged(_members(met, failed.select("group").distinct()), "members")
-    whole, load = one.agg(F.sum("n")).first()[0] or 0, members.agg(F.sum("n")).first()[0] or 0
-    if deep is not None or load > whole:  # what is linked through others need not travel again
+    met = c.staged(met.join(sure.withColumn("ok", F.lit(True)), ["src", "dst"], "left"), "met")
+    failed = met.where("ok is null")
+    open_groups = failed.select("group").distinct()
+    if deep is not None:
         label = c.connected_components(links, "first-components")
-        open_groups = _apart(c.staged(failed, "failed"), label).select("group").distinct()
-        if deep is not None and (outside := _outsiders(deep, label)) is not None:
-            late = c.staged(candidates(outside, one, near), "met")
-            open_groups, met = open_groups.union(_apart(late, label).select("group").distinct()), met.union(late)
+        if (outside := _outsiders(deep, label)) is not None:
+            late = c.staged(candidates(outside, one, near).withColumn("ok", F.lit(None).cast("boolean")), "met")
+            open_groups, met = open_groups.union(_apart(late, label).select("group").distinct()).distinct(), met.union(late.select(met.columns))
             ends = late.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
             texts = texts.union(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi")).distinct()
-        members = c.staged(_members(met, open_groups.distinct()), "members")
+    members = c.staged(_members(met, open_groups), "members")
     again = c.staged(confirmed(texts, members, width, near, group_shingles), "links")
     label = c.connected_components(links.union(again))
 
@@ -368,8 +387,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, near: int = NEAR, node_
 
 
 def _members(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, rep, n) of the rows of some groups."""
-    return met.join(groups, "group").select("group", F.explode(F.array("src", "dst")).alias("rep"), "n").groupBy("group", "rep").agg(F.max("n").alias("n"))
+    """(group, rep, n, links) of the rows of some groups; a row's links are those of its
+    pairs, one or so each in a group, that were confirmed."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("rep"), F.when(F.col("ok"), F.col("dst")).alias("to")), F.struct(F.col("dst").alias("rep"), F.lit(None).cast("long").alias("to")))).alias("e")
+    return met.join(groups, "group").select("group", "n", ends).groupBy("group", "e.rep").agg(F.max("n").alias("n"), F.collect_list("e.to").alias("links"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
