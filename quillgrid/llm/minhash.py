@@ -231,7 +231,15 @@ def exact_groups(found: list[np.ndarray], near: int, linked: list[tuple[int, int
     ``linked``: pairs that are known to be; only sets not linked yet are compared."""
     n = len(found)
     size = np.array([len(s) for s in found], np.int64)
-    sig = np.stack([signature(s) for s in found])
+    # where each token stands: one set meets all others by the rows of its own tokens
+    token = np.concatenate([np.zeros(0, np.uint64), *found])
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])) if len(token) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(token)))
+    number = np.empty(len(token), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), count)
+    rows = np.repeat(np.arange(n), size)[order]
+    begin = np.cumsum(size) - size
     held = np.arange(n)  # the component of each by the known pairs
     for a, b in linked:
         while held[a] != a:
@@ -246,7 +254,6 @@ def exact_groups(found: list[np.ndarray], near: int, linked: list[tuple[int, int
         members.setdefault(h, []).append(k)
     label = np.full(n, -1)
     rest = np.arange(n)
-    least = agreement(near, 6.7)
     for root in range(n):
         if label[root] >= 0:
             continue
@@ -255,14 +262,14 @@ def exact_groups(found: list[np.ndarray], near: int, linked: list[tuple[int, int
         rest = rest[label[rest] < 0]
         while todo and len(rest):
             u = todo.pop()
-            may = rest[(np.minimum(size[rest], size[u]) * 100 >= near * np.maximum(size[rest], size[u])) & ((sig[rest] == sig[u]).sum(1) >= least)]
-            more: list[int] = []
-            for v in may.tolist():
-                if label[v] < 0 and _similar(found[u], found[v], near):
-                    own = members[int(held[v])]
-                    label[own] = root
-                    more += own
-            if more:
+            own = number[begin[u] : begin[u] + size[u]]
+            own = own[count[own] > 1]
+            at = np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(int(count[own].sum()))
+            both = np.bincount(rows[at], minlength=n)[rest]
+            hit = rest[(both > 0) & (100 * both >= near * (size[rest] + size[u] - both))]
+            if len(hit):
+                more = [k for h in np.unique(held[hit]).tolist() for k in members[h]]
+                label[more] = root
                 rest = rest[label[rest] < 0]
                 todo += more
     return label
