@@ -234,7 +234,8 @@ def classified(lines: DataFrame) -> DataFrame:
     total = sum((F.exp((v - top) / 1000.0) for v in z), F.lit(0.0))
     first = F.coalesce(*(F.when(v == top, F.lit(FAMILIES[k])) for k, v in enumerate(z)))
     named = sums.select("line", first.alias("guess"), F.round(1 / total, 6).alias("probability"))
-    pairs = one.select("line", F.array_distinct(_word_grams(F.col("words"), 2)).alias("p")).select("line", F.size("p").alias("own"), F.explode("p").alias("gram"))
+    # outer, as the optimizer would filter on the size of ``p`` before, with the words taken anew for each pair; the join drops the nulls
+    pairs = one.select("line", F.array_distinct(_word_grams(F.col("words"), 2)).alias("p")).select("line", F.size("p").alias("own"), F.explode_outer("p").alias("gram"))
     shared = pairs.join(known, "gram").groupBy("line", "own", "t_family", "t").agg(F.count("*").alias("n")).join(size, ["t_family", "t"]).where("own <= most")
     shared = shared.groupBy("line", F.col("t_family").alias("guess")).agg(F.max(F.floor(F.col("n") * 1000 / F.col("pairs"))).alias("overlap"))
     sure = (F.col("probability") >= floor) & (F.col("guess") != "unknown")

@@ -552,6 +552,19 @@ def test_licences_stay_native(spark, docs):
         assert "Python" not in shown and "Arrow" not in shown and "Cartesian" not in shown
 
 
+def test_licences_take_words_once(spark, tmp_path):
+    """A line's words are taken once in each pass, not again for each of its pairs; lines
+    without a pair stay."""
+    title = "the mit license"
+    rows = [("affero",), (title,), (f"{title} " + " ".join(f"w{i}" for i in range(3000)),)]
+    spark.createDataFrame(rows, "line string").write.parquet(str(tmp_path / "lines"))
+    found = licences.classified(spark.read.parquet(str(tmp_path / "lines")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+    got = {r.line: (r.overlap, r.confirmed) for r in found.collect()}
+    assert len(got) == 3 and got["affero"] == (0, False) and got[title] == (1000, True) and not got[rows[2][0]][1]
+
+
 # -- op6 ---------------------------------------------------------------------
 
 
