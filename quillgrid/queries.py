@@ -292,8 +292,9 @@ def _folder(spark: SparkSession) -> str:
 def _streamed(spark: SparkSession, docs: DataFrame, schema: str, **options) -> DataFrame:
     folder = _folder(spark)
     cut = files.cut_chunks(docs.withColumnRenamed("id", "doc_id"), 9)
-    cut.repartition(4, "seq").write.parquet(f"{folder}/chunks")
-    return chunks.run_to_end(files.read_chunks(spark, f"{folder}/chunks", 2), schema, f"{folder}/run", **options)
+    wide = max(1, spark.sparkContext.defaultParallelism // 4)  # two batches, on any number of cores
+    cut.repartition(4 * wide, "seq", F.pmod(F.xxhash64("doc_id"), F.lit(wide))).write.parquet(f"{folder}/chunks")
+    return chunks.run_to_end(files.read_chunks(spark, f"{folder}/chunks", 2 * wide), schema, f"{folder}/run", **options)
 
 
 def _stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
