@@ -111,13 +111,19 @@ def validate(docs: DataFrame, schema: str | None = None, text: str = "text", sch
     if schema_column or path == "trees" or not strict_table_bounds:
         return compared(docs, schema, text, schema_column, **options)
     blocks, ok, found = (_free(k, docs) for k in ("_blocks", "_ok", "_judged"))
+    part = "_part"
+    while any(k.lower().startswith(part) for k in docs.columns):
+        part = "_" + part
     try:
-        plan = plans.compiled(schema, F.col(text), F.col(blocks))
+        plan = plans.compiled(schema, F.col(text), F.col(blocks), part)
     except plans.Unsupported:
         return compared(docs, schema, text, **options)
     if drop_underscore:
         plan.captures.pop("_", None)
-    cut = docs.withColumn(blocks, plans.blocks_of(F.col(text))).withColumn(ok, plan.accepts)
+    cut = docs.withColumn(blocks, plans.blocks_of(F.col(text)))
+    for name, value in plan.parts:
+        cut = cut.withColumn(name, value)
+    cut = cut.withColumn(ok, plan.accepts)
     cut = cut.select(*docs.columns, ok, F.when(F.col(ok), _value(plan)).alias(blocks))
     cut = cut.withColumn(found, _by_trees(schema, **options)(F.when(~F.col(ok), F.coalesce(F.col(text), F.lit("")))))
     return cut.select(

@@ -40,6 +40,7 @@ class Compiled:
     accepts: Column
     captures: dict[str, Column]  # by id; arrays for repeated matchers
     repeated: frozenset[str]
+    parts: list[tuple[str, Column]]  # columns that the others read, in this order
 
 
 #: Beyond so many items of their own a list is compared as a tree.
@@ -150,13 +151,13 @@ def _fence(node: Node, b: Column, captures: dict) -> Column:
     return _all(*checks)
 
 
-def _list(node: Node, b: Column, captures: dict, repeated: set) -> Column:
+def _list(node: Node, b: Column, captures: dict, repeated: set, keep=lambda x: x) -> Column:
     if node.kind != "tight_list" or any(len(i.children) != 2 or i.children[1].kind != "paragraph" for i in node.children):
         raise Unsupported("a nested or loose list")
     ordered = node.children[0].children[0].text[0].isdigit()
     mark = r"^\d{1,9}[.)] (?! )" if ordered else r"^[-] (?! )"
-    lines = F.split(b, "\n")
-    items = F.transform(lines, lambda x: F.regexp_replace(x, mark, ""))
+    lines = keep(F.split(b, "\n"))
+    items = keep(F.transform(lines, lambda x: F.regexp_replace(x, mark, "")))
     uniform = F.forall(lines, lambda x: x.rlike(mark)) & ~F.exists(items, lambda x: x.rlike("^" + _STARTS))
     if ordered:
         uniform = uniform & (F.size(F.array_distinct(F.transform(lines, lambda x: F.regexp_extract(x, r"^\d+([.)])", 1)))) == 1)
@@ -217,11 +218,11 @@ def _cells_of(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
 
-def _table(node: Node, b: Column, captures: dict, repeated: set) -> Column:
+def _table(node: Node, b: Column, captures: dict, repeated: set, keep=lambda x: x) -> Column:
     rows = [r for r in node.children if r.kind != "table_delimiter_row"]
     wide = len(rows[0].children)
-    lines = F.split(b, "\n")
-    cells = F.transform(F.filter(lines, lambda x, i: i != 1), _cells_of)
+    lines = keep(F.split(b, "\n"))
+    cells = keep(F.transform(F.filter(lines, lambda x, i: i != 1), _cells_of))
     checks = [
         F.forall(lines, lambda x: x.rlike(r"^\|.*\|$")),
         F.get(lines, F.lit(1)).rlike(r"^\|(?: *:?-+:? *\|)+$"),
@@ -301,9 +302,20 @@ def blocks_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(BLOCK), 0)
 
 
-def compiled(schema: str, text: Column, blocks: Column | None = None) -> Compiled:
-    """The expressions of a schema over a text column; raises :class:`Unsupported`."""
+def compiled(schema: str, text: Column, blocks: Column | None = None, part: str | None = None) -> Compiled:
+    """The expressions of a schema over a text column; raises :class:`Unsupported`.
+
+    What they read many times (a table's cells, say) is in columns ``part`` with a number,
+    where that is given; Spark evaluates an expression anew in each place of it."""
     blocks = blocks_of(text) if blocks is None else blocks
+    parts: list[tuple[str, Column]] = []
+
+    def keep(value: Column) -> Column:
+        if part is None:
+            return value
+        parts.append((f"{part}{len(parts)}", value))
+        return F.col(parts[-1][0])
+
     nodes = schema_tree(schema).children
     checks: list[Column] = []
     captures: dict[str, Column] = {}
@@ -355,9 +367,9 @@ def compiled(schema: str, text: Column, blocks: Column | None = None) -> Compile
         elif node.kind == "thematic_break":
             checks.append(b.rlike(r"^---+$"))
         elif node.kind in ("tight_list", "loose_list"):
-            checks.append(_list(node, b, fresh, repeated))
+            checks.append(_list(node, b, fresh, repeated, keep))
         elif node.kind == "table":
-            checks.append(_table(node, b, fresh, repeated))
+            checks.append(_table(node, b, fresh, repeated, keep))
         else:
             raise Unsupported(node.kind)
         for name, value in fresh.items():
@@ -366,7 +378,7 @@ def compiled(schema: str, text: Column, blocks: Column | None = None) -> Compile
             captures[name] = F.coalesce(value, captures[name]) if name in captures else value
     odd = _any(blocks, lambda x, i: ~x.startswith("```") & x.rlike(ODD) & ~functools.reduce(operator.or_, [i == p for p in linked], F.lit(False)))
     # two lists in a row may be one loose list
-    lists = F.transform(blocks, lambda x: x.rlike(r"^(?:[-*+]|\d{1,9}[.)])(?: |$)"))
+    lists = keep(F.transform(blocks, lambda x: x.rlike(r"^(?:[-*+]|\d{1,9}[.)])(?: |$)")))
     twice = _any(lists, lambda x, i: x & (i > 0) & F.coalesce(F.get(lists, i - 1), F.lit(False)))
     accepts = _all(text.isNotNull(), F.size(blocks) == total, ~odd, ~twice, *checks)
-    return Compiled(F.coalesce(accepts, F.lit(False)), captures, frozenset(repeated))
+    return Compiled(F.coalesce(accepts, F.lit(False)), captures, frozenset(repeated), parts)
