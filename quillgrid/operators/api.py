@@ -120,7 +120,13 @@ def compared(docs: DataFrame, schema: str | None = None, text: str = "text", sch
 def _value(plan: plans.Compiled) -> Column:
     if not plan.captures:
         return F.lit("{}")
-    return F.to_json(F.struct(*(plan.captures[k].alias(k) for k in sorted(plan.captures))))
+    if not plan.json:
+        return F.to_json(F.struct(*(plan.captures[k].alias(k) for k in sorted(plan.captures))))
+    shown = []
+    for k in sorted(plan.captures):
+        own = F.to_json(F.struct(plan.captures[k].alias(k)))  # an id of a null is left out
+        shown.append(F.concat(F.lit(json.dumps(k) + ":"), plan.captures[k]) if k in plan.json else F.nullif(F.substr(own, F.lit(2), F.length(own) - 2), F.lit("")))
+    return F.concat(F.lit("{"), F.concat_ws(",", *shown), F.lit("}"))
 
 
 def validate(docs: DataFrame, schema: str | None = None, text: str = "text", schema_column: str | None = None, path: str = "auto", drop_underscore: bool = False, strict_table_bounds: bool = True) -> DataFrame:

@@ -41,6 +41,7 @@ class Compiled:
     captures: dict[str, Column]  # by id; arrays for repeated matchers
     repeated: frozenset[str]
     parts: list[tuple[str, Column]]  # columns that the others read, in this order
+    json: frozenset[str]  # ids whose column is JSON already
 
 
 #: Beyond so many items of their own a list is compared as a tree.
@@ -214,6 +215,42 @@ def _list(node: Node, b: Column, captures: dict, repeated: set, keep=lambda x: x
     return _all(b.rlike(mark), *checks)
 
 
+#: A line of a list below a list, as the compiled plan reads it.
+_BELOW = r"^ {4}- (?! )"
+
+
+def _is_nested(node: Node) -> bool:
+    """A list of one item with a list of one item below it."""
+    shape = lambda n: n.kind == "tight_list" and len(n.children) == 1 and n.children[0].children[0].text == "-" and [c.kind for c in n.children[0].children[1:]]
+    return shape(node) == ["paragraph", "tight_list"] and shape(node.children[0].children[2]) == ["paragraph"]
+
+
+def _nested(node: Node, b: Column, captures: dict, keep) -> Column:
+    """An item taken once and a repeated one below it: the capture is what the item gives
+    and then an object of what those below give, as JSON."""
+    item = node.children[0]
+    below = item.children[2].children[0]
+    try:
+        own, under = repeated_item(item), repeated_item(below)
+    except MatcherError as wrong:
+        raise Unsupported(str(wrong)) from None
+    if not own or not under or own.most != 1 or (own.least or 0) > 1 or not own.id or not under.id or own.id == under.id:
+        raise Unsupported("a nested list")
+    head, text = (_text(i.children[1].children, repeats=True) for i in (item, below))
+    lines = keep(F.split(b, "\n"))
+    first = F.substr(F.get(lines, F.lit(0)), F.lit(3))
+    given = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    rest = keep(F.transform(given, lambda x: F.when(x.rlike(_BELOW), F.substr(x, F.lit(7)))))
+    checks = [b.rlike(r"^- (?! )"), ~first.rlike("^" + _STARTS), head.accepts(first), F.size(rest) >= max(1, under.least or 0)]
+    if under.most is not None:
+        checks.append(F.size(rest) <= under.most)
+    checks.append(F.forall(rest, lambda x: x.isNotNull() & ~x.rlike("^" + _STARTS) & text.accepts(x)))
+    one = F.to_json(F.array(head.hit(first)))
+    more = F.to_json(F.struct(F.transform(rest, lambda x: text.hit(x)).alias(under.id)))
+    captures[own.id] = F.concat(F.substr(one, F.lit(1), F.length(one) - 1), F.lit(","), more, F.lit("]"))
+    return _all(*checks)
+
+
 def _cells_of(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
@@ -323,6 +360,8 @@ def compiled(schema: str, text: Column, blocks: Column | None = None, part: str
     offset: int | Column = 0
     total: int | Column = len(nodes)
     linked: list[int | Column] = []
+    deep: list[int | Column] = []  # places of nested lists
+    written: set[str] = set()
     for k, node in enumerate(nodes):
         place = F.lit(k) + offset if not isinstance(offset, int) else F.lit(k)
         b = F.get(blocks, place)
@@ -366,6 +405,10 @@ def compiled(schema: str, text: Column, blocks: Column | None = None, part: str
                 fresh[body.own.id] = body.hit(line)
         elif node.kind == "thematic_break":
             checks.append(b.rlike(r"^---+$"))
+        elif _is_nested(node):
+            deep.append(k if isinstance(offset, int) else place)
+            checks.append(_nested(node, b, fresh, keep))
+            written |= set(fresh)
         elif node.kind in ("tight_list", "loose_list"):
             checks.append(_list(node, b, fresh, repeated, keep))
         elif node.kind == "table":
@@ -373,12 +416,13 @@ def compiled(schema: str, text: Column, blocks: Column | None = None, part: str
         else:
             raise Unsupported(node.kind)
         for name, value in fresh.items():
-            if name in captures and (name in before) != (name in repeated):
+            if name in captures and ((name in before) != (name in repeated) or name in written):
                 raise Unsupported("an id of two shapes")
             captures[name] = F.coalesce(value, captures[name]) if name in captures else value
-    odd = _any(blocks, lambda x, i: ~x.startswith("```") & x.rlike(ODD) & ~functools.reduce(operator.or_, [i == p for p in linked], F.lit(False)))
+    flat = lambda x, i: F.when(functools.reduce(operator.or_, [i == p for p in deep]), F.regexp_replace(x, r"(?m)^ {4}(?=- )", "")).otherwise(x) if deep else x
+    odd = _any(blocks, lambda x, i: ~x.startswith("```") & flat(x, i).rlike(ODD) & ~functools.reduce(operator.or_, [i == p for p in linked], F.lit(False)))
     # two lists in a row may be one loose list
     lists = keep(F.transform(blocks, lambda x: x.rlike(r"^(?:[-*+]|\d{1,9}[.)])(?: |$)")))
     twice = _any(lists, lambda x, i: x & (i > 0) & F.coalesce(F.get(lists, i - 1), F.lit(False)))
     accepts = _all(text.isNotNull(), F.size(blocks) == total, ~odd, ~twice, *checks)
-    return Compiled(F.coalesce(accepts, F.lit(False)), captures, frozenset(repeated), parts)
+    return Compiled(F.coalesce(accepts, F.lit(False)), captures, frozenset(repeated), parts, frozenset(written))
